@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ctw, language_id
 from .decontaminate import decontaminate
+from .near_dedup import near_duplicates
+from .neighbours import nearest
+from .substring_dedup import dedup_substrings
 from .token_counts import token_counts
+from .toxicity import held_out, labelled, learn, toxicity
 from .url_filter import host_of, url_filter
 
 
@@ -14,17 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = held_out(F.col("doc_id"), 3, 1)
+    model = language_id.fit(docs, ~test)
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, threshold=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=35).drop("kept_text")
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: The query's list: every URL of these spam hosts in pages.
 SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win)\."
@@ -36,5 +61,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, listed, URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_decontaminate, op8_url_filter)}
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = held_out(F.col("doc_id"), 10, 0)
+    scored = ctw.score(docs, ~test)
+    return scored.select("doc_id", test.alias("held_out"), *scored.columns[1:])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = held_out(F.col("doc_id"), 5, 0)
+    lexicon = learn(labelled(docs, table(spark, sf_dir, "labels").where(~test)))
+    return toxicity(docs, lexicon).select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_dedup, op4_decontaminate, op5_neighbours, op7_substring_dedup, op8_url_filter, op9_ctw, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
