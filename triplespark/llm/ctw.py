@@ -23,9 +23,9 @@ from .common import binaries, chunks, materialize, tune
 from .words import count_words, frequent, match_words, rare_rows, split_lower
 
 #: Bytes of context.
-DEPTH = 5
+DEPTH = 6
 #: Least share of the training bytes that a context must hold.
-SHARE = 3e-5
+SHARE = 1e-5
 END = b"\n"
 #: Bytes of text worked on together.
 PIECE = 2 << 20
