@@ -21,15 +21,15 @@ from .common import WordHashes, binaries, materialize, mix, tune
 from .components import components
 
 #: Minwise tokens of a signature.
-TOKENS = 64
+TOKENS = 128
 #: Independent trees, and the depth at which nodes are first compared: each document is in TREES * 2 ** DEPTH nodes. A pair
-#: of similarity 0.8 meets in a tree with probability 0.94, so misses all with 2e-5.
-TREES, DEPTH = 4, 4
+#: of similarity 0.8 meets in a tree with probability 0.946, so misses all with 9e-6.
+TREES, DEPTH = 4, 2
 #: Nodes of more documents are large. Large ones branch down to DEEPEST, then are compared in blocks.
-LARGE = 48
-DEEPEST = 14
+LARGE = 64
+DEEPEST = 8
 #: A signature's similarity that a pair has at least if its true one is the threshold: four standard deviations below.
-MARGIN = 0.2
+MARGIN = 0.14
 #: Documents that a task holds against one other, at most about.
 CONFIRMED = 400
 
@@ -60,7 +60,7 @@ def signature(have: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(0, len(have), 4096):
             least = np.minimum(least, (have[i : i + 4096, None] * a + b).min(0))
-    return (least >> np.uint64(32)).astype("<u4")
+    return mix(least).astype("<u2")
 
 
 def _step(nodes: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def _step(nodes: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def _signs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, TOKENS)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _compare(least: float, every: bool):
 
 
 def _hold(least: float):
-    """(u, v, alike) of rows (rid, sketch, others: array of rid, sketch) where alike enough."""
+    """(u, v, alike) of rows (rid, root, sketch, others: array of rid, root, sketch) of different roots where alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +172,7 @@ def _hold(least: float):
                 i = np.repeat(np.arange(b.num_rows), sizes)
                 alike = (own[i] == theirs).mean(1) if len(i) else np.zeros(0)
                 rid, other = b.column("rid").to_numpy()[i], flat.field("rid").to_numpy()
-                near = (alike >= least) & (rid != other)
+                near = (alike >= least) & (b.column("root").to_numpy()[i] != flat.field("root").to_numpy())
                 u, v = np.minimum(rid, other)[near], np.maximum(rid, other)[near]
                 yield pa.record_batch({"u": pa.array(u), "v": pa.array(v), "alike": pa.array(alike[near].astype(np.float32))})
 
@@ -206,7 +206,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
     children = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("rid")).join(needed, "rid")
     parents = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("rid")).join(needed, "rid")
     kept = F.struct("rid", "text")
-    together = parents.groupBy("u", "part").agg(F.first("text").alias("text")).join(children.groupBy("u", "part").agg(F.collect_list(kept).alias("children")), ["u", "part"])
+    together = parents.join(children.groupBy("u", "part").agg(F.collect_list(kept).alias("children")), ["u", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -286,8 +286,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     blocks = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col("n") / LARGE))).alias("group"), "rid")
     groups = _grouped(small.select(F.col("node").alias("group"), "rid").unionByName(blocks), sketches)
     found = groups.mapInArrow(_compare(least, every=False), PAIRS)
-    pivot = sketches.select(F.col("rid").alias("least"), F.array(F.struct("rid", "sketch")).alias("others"))
-    against = large.where("rid != least").select("rid", "least").distinct().join(sketches, "rid").join(pivot, "least").select("rid", "sketch", "others").mapInArrow(_hold(least), PAIRS)
+    pivot = sketches.select(F.col("rid").alias("least"), F.array(F.struct("rid", F.col("rid").alias("root"), "sketch")).alias("others"))
+    against = large.where("rid != least").select("rid", "least").distinct().join(sketches, "rid").join(pivot, "least").select("rid", F.col("rid").alias("root"), "sketch", "others").mapInArrow(_hold(least), PAIRS)
     nearness = F.struct(F.when(F.col("alike") >= 0.9, 0.0).otherwise(1 - F.col("alike")).alias("far"), "u")
     chosen = found.unionByName(against).groupBy("v").agg(F.min(nearness).alias("best")).select(F.col("best.u").alias("u"), "v")
     links = materialize(confirm(chosen, texts, size, threshold), "links")
@@ -305,11 +305,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     more = [_grouped(open_(small.select(F.col("node").alias("group"), "rid"), "group"), sketches, F.col("root")).mapInArrow(_compare(least, every=True), PAIRS)]
     depth, left = DEPTH, open_(large.select("node", "rid"), "node")
     while not left.isEmpty():
-        if depth >= DEEPEST:
-            more.append(_across(left, sketches, least))
-            break
+        # where one component has most of a large node, the others are held against it; branching would only copy it
+        sizes = left.groupBy("node", "root").count().groupBy("node").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+        dense = sizes.where("2 * most >= n" if depth < DEEPEST else "true").select("node")
+        more.append(_across(left.join(dense, "node"), sketches, least))
         depth += 2
-        small, large = split(left.select("node", "rid").join(signs, "rid").mapInArrow(_deeper, "node long, rid long"))
+        rest = left.join(dense, "node", "left_anti").select("node", "rid")
+        if depth > DEEPEST or rest.isEmpty():
+            break
+        small, large = split(rest.join(signs, "rid").mapInArrow(_deeper, "node long, rid long"))
         more.append(_grouped(open_(small.select(F.col("node").alias("group"), "rid"), "group"), sketches, F.col("root")).mapInArrow(_compare(least, every=True), PAIRS))
         left = open_(large.select("node", "rid"), "node")
     crossing = more[0]
@@ -327,12 +331,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
 
 
 def _across(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs of different roots in nodes that branching left large: members outside the node's main component, in blocks,
+    """Pairs of different roots in large nodes: members outside the node's main component, in blocks,
     against all of its members."""
     sizes = rows.groupBy("node", "root").count()
     main = sizes.groupBy("node").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n")).select("node", F.col("m.root").alias("main"), (F.ceil((F.col("n") - F.col("m.count")) / LARGE)).cast("int").alias("blocks"))
     rows = rows.join(sketches, "rid").join(main, "node")
-    out = rows.where("root != main").select("node", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "sketch")
-    out = out.groupBy("node", "block").agg(F.collect_list(F.struct("rid", "sketch")).alias("others"))
-    own = rows.select("node", "rid", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return own.join(out, ["node", "block"]).select("rid", "sketch", "others").mapInArrow(_hold(least), PAIRS)
+    out = rows.where("root != main").select("node", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "root", "sketch")
+    out = out.groupBy("node", "block").agg(F.collect_list(F.struct("rid", "root", "sketch")).alias("others"))
+    own = rows.select("node", "rid", "root", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return own.join(out, ["node", "block"]).select("rid", "root", "sketch", "others").mapInArrow(_hold(least), PAIRS)
