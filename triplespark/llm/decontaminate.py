@@ -7,6 +7,7 @@ match that ends at a word tells which windows end there.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,16 +147,26 @@ class Automaton:
         return spans, found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, max_span: int | None = None, max_cover: float = 0.0) -> DataFrame:
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of these spans (from and to, in order) and what stands between them."""
+    at = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_FOLD))]
+    out, last = [], 0
+    for i, j in spans:
+        out.append(text[last : at[i][0]])
+        last = at[j - 1][1]
+    return b"".join([*out, text[last:]])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, max_span: int | None = None, max_cover: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """Hold docs (doc_id, text) against items (item_id, text), the test set.
 
     A window is `length` consecutive words of an item, or all words of an item of fewer. A word of a document is hit if
     it lies in an occurrence of a window. One row for each row of docs, repeated rows and equal or null doc_ids included:
     doc_id, n_words, n_hit, n_items (distinct item_ids with windows that occur), items (those as strings, sorted),
-    longest (words of the longest hit span), clean_text (the text's words, as normalised, less those hit; null where
-    nothing is hit), drop (more than max_cover of the words are hit, or a hit span is longer than max_span, if given).
+    longest (words of the longest hit span), clean_text (the text less the hit spans; null where nothing is hit), drop (more than max_cover of the words are hit, or a hit span is longer than max_span, if given).
     Null and empty texts have no words; null and empty items no windows. An item whose id is null hits words, but isn't
-    counted or named. An empty test set hits nothing. Other columns are not read.
+    counted or named. An empty test set hits nothing. Columns of docs named in `carry` come along in a struct `carried`;
+    others are not read.
 
     The test set goes to every executor: it is a curated set of some MB, checked here (max 200 MB, else ValueError). Its
     items are dealt to automata of WORDS_PER_AUTOMATON words, each built once in a task.
@@ -195,16 +206,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, max_span:
                 out["n_hit"].append(int(covered.sum()))
                 out["items"].append(sorted(found))
                 out["longest"].append(int((edge[1::2] - edge[::2]).max(initial=0)))
-                out["clean_text"].append(b" ".join(w for w, c in zip(words, covered.tolist()) if not c).decode("utf-8", "replace") if len(edge) else None)
+                out["clean_text"].append(cut(t, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))).decode("utf-8", "replace") if len(edge) else None)
             kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "longest": pa.int64(), "clean_text": pa.string()}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[k], kinds[k]) for k in out)], ["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *(pa.array(out[k], kinds[k]) for k in out)], ["doc_id", "carried", *out])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, longest long, clean_text string")
+    chosen = docs.select("doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("doc_id", "carried", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:2])
+    found = chosen.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long, clean_text string")
     drop = F.col("n_hit") > F.col("n_words") * max_cover
     if max_span is not None:
         drop = drop | (F.col("longest") > max_span)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "longest", "clean_text", drop.alias("drop"))
+    return found.select("doc_id", *(["carried"] if carry else []), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "longest", "clean_text", drop.alias("drop"))
 
 
 def digest(ids: list[str]) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ctw, language_id
 from .decontaminate import decontaminate
+from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .substring_dedup import dedup_substrings
@@ -46,6 +47,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), length=35).drop("kept_text")
 
@@ -75,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, lexicon).select("doc_id", test.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_dedup, op4_decontaminate, op5_neighbours, op7_substring_dedup, op8_url_filter, op9_ctw, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_near_dedup, op4_decontaminate, op5_neighbours, op6_mixing, op7_substring_dedup, op8_url_filter, op9_ctw, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -107,21 +107,24 @@ def _counted(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[first] for k in keys], np.diff(np.concatenate((first, [len(order)])))
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """Remove from each text of docs (doc_id, text) the words that lie in a recurring window.
 
     Words are runs without ASCII white space, unchanged. A window is `length` (12 or more) consecutive words of one document; it recurs
     if the same words start anywhere else too, in the same document included. Windows are judged on the input: every
     copy of a passage goes. One row for each row of docs, repeated rows and equal or null doc_ids included: doc_id,
-    n_words, n_removed, kept_sha256 (lowercase hex of the kept words joined by one space), kept_text (those words; null where nothing is removed). Null and empty texts
-    have no words, and texts shorter than a window lose none. Other columns are not read.
+    n_words, n_removed, kept_sha256 (lowercase hex of the kept words joined by one space), kept_text (the text if nothing is removed, else
+    those words; null without `texts`). Null and empty texts
+    have no words, and texts shorter than a window lose none. Columns of docs
+    named in `carry` come along in a struct `carried`; others are not read.
     """
     spark = docs.sparkSession
     tune(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(48, -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select(shard, "doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("shard", "doc_id", "carried", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[1:3])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
@@ -145,29 +148,28 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = _automaton(right["a"].to_numpy(), right["b"].to_numpy()) if right.num_rows else None
         hashes_of = WordHashes()
-        counts, shas, texts, marks = [], [], [], []
+        counts, shas, own, marks = [], [], [], []
         for t in binaries(left["text"]):
             words = t.split() if t else []
             counts.append(len(words))
             mark = _candidates(hashes_of(words), automaton, length) if automaton and len(words) >= length else None
             some = mark is not None and mark.any()
             shas.append(None if some else _sha(words))
-            texts.append(t if some else None)
+            own.append(t if some or texts else None)
             marks.append(np.packbits(mark).tobytes() if some else None)
-        return pa.table([left["shard"], left["doc_id"], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "n_words", "sha", "text", "marks"])
+        return pa.table([left["shard"], left["doc_id"], left["carried"], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(own, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "carried", "n_words", "sha", "text", "marks"])
 
-    own = docs.select(shard, "doc_id", "text")
-    located = materialize(own.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(locate, f"shard int, doc_id {kind}, n_words long, sha string, text binary, marks binary"), "located")
-    held = located.where("text is not null")
+    located = materialize(own.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(locate, f"shard int, {kinds}, n_words long, sha string, text binary, marks binary"), "located")
+    held = located.where("marks is not null")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes_of = WordHashes()
         for b in batches:
-            texts, marks = b.column("text").to_pylist(), b.column("marks").to_pylist()
+            own, marks = b.column("text").to_pylist(), b.column("marks").to_pylist()
             for s, rows in _by_shard(b.column("shard").to_numpy()):
                 parts = []
                 for i in rows.tolist():
-                    h = hashes_of(texts[i].split())
+                    h = hashes_of(own[i].split())
                     mark = np.unpackbits(np.frombuffer(marks[i], np.uint8), count=len(h) - length + 1).view(bool)
                     parts.append([k[mark] for k in _windows(h, length)])
                 (w, v), n = _counted([np.concatenate(p) for p in zip(*parts, strict=True)])
@@ -204,9 +206,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
             counts.append(len(words))
             removed.append(int(gone.sum()))
             shas.append(_sha(kept))
-            kept_texts.append(b" ".join(kept).decode("utf-8", "replace") if removed[-1] else None)
-        return pa.table([left["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            kept_texts.append(None if not texts else (b" ".join(kept) if removed[-1] else t).decode("utf-8", "replace"))
+        return pa.table([left["doc_id"], left["carried"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "carried", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    cut = held.select("shard", "doc_id", "text").groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    whole = located.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return whole.unionByName(cut)
+    cut = held.select("shard", "doc_id", "carried", "text").groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(remove, f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    whole = located.where("marks is null").select("doc_id", "carried", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.decode("text", "UTF-8").alias("kept_text"))
+    out = whole.unionByName(cut)
+    return out if carry else out.drop("carried")
