@@ -80,14 +80,16 @@ def page_number(text: str | None) -> int:
     return max(1, int(text)) if text and re.fullmatch(r"\d+", text) else 1
 
 
-def page_of(df: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """A page in the order of all columns."""
+def page_of(df: DataFrame, page: int, size: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
+    """A page in the order of all columns; past the total, if known, an empty one that sorts nothing."""
+    if total is not None and size * (page - 1) >= total:
+        return df.where("false")
     return df.orderBy(*df.columns).offset(size * (page - 1)).limit(size)
 
 
 def tpf(graph: Graph, t: TriplePattern, page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
     found = _triples(graph, t)
-    return Fragment(page_of(found, page, size), found.count(), Request("tpf", dataset, page, t), size, base)
+    return Fragment(page_of(found, page, size, total := found.count()), total, Request("tpf", dataset, page, t), size, base)
 
 
 def _triples(graph: Graph, t: TriplePattern) -> DataFrame:
@@ -121,7 +123,7 @@ def restrict(graph: Graph, t: TriplePattern, names: list[str], rows: list[tuple[
 
 def brtpf(graph: Graph, t: TriplePattern, names: list[str], rows: list[tuple[str | None, ...]], page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
     found = restrict(graph, t, names, rows)
-    return Fragment(page_of(found, page, size), found.count(), Request("brtpf", dataset, page, t, None, tuple(names), tuple(rows)), size, base)
+    return Fragment(page_of(found, page, size, total := found.count()), total, Request("brtpf", dataset, page, t, None, tuple(names), tuple(rows)), size, base)
 
 
 def spf(graph: Graph, star: StarPattern, names: list[str] = (), rows: list[tuple[str | None, ...]] = (), page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
@@ -130,7 +132,7 @@ def spf(graph: Graph, star: StarPattern, names: list[str] = (), rows: list[tuple
         found = reduce(DataFrame.unionByName, (_bound_stars(graph, star, list(names), group) for group in _by_bound(list(rows)))).distinct()
     else:
         found = distinct_stars(graph, star)
-    return Fragment(page_of(found, page, size), found.count(), Request("spf", dataset, page, None, star, tuple(names), tuple(rows)), size, base)
+    return Fragment(page_of(found, page, size, total := found.count()), total, Request("spf", dataset, page, None, star, tuple(names), tuple(rows)), size, base)
 
 
 def _by_bound(rows: list[tuple[str | None, ...]]) -> list[list]:

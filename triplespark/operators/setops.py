@@ -17,11 +17,10 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def dedup_adjacent(df: DataFrame, order: list[str], within: list[str]) -> DataFrame:
-    """Rows that differ from the one before, in this order within each group."""
-    own = [c for c in df.columns if c not in within]
-    before = F.lag(F.struct(*own)).over(Window.partitionBy(*within).orderBy(*order))
-    return df.where(True).select("*", before.alias("before")).where(~F.struct(*own).eqNullSafe(F.col("before"))).drop("before")
+def dedup_adjacent(df: DataFrame, order: list[str], within: list[str], values: list[str]) -> DataFrame:
+    """Rows whose values differ from those of the row before, in this order within each group."""
+    before = F.lag(F.struct(*values)).over(Window.partitionBy(*within).orderBy(*order))
+    return df.withColumn("before", before).where(~F.struct(*values).eqNullSafe(F.col("before"))).drop("before")
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:

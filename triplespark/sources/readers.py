@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import terms as T
 from ..plans.sparql import parse_turtle
@@ -79,11 +80,11 @@ def _unpacked(name: str, content: bytes) -> bytes:
 
 
 _IRI, _BNODE = r"<[^<>\"{}|^`\x00-\x20]*>", r"_:[^\s<>\"]*[^\s<>\".]"
-_LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
+_LITERAL = r'".*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
 _STATEMENT = rf"^\s*({_IRI}|{_BNODE})\s*({_IRI})\s*({_IRI}|{_BNODE}|{_LITERAL})\s*({_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType())
 def _unescaped(text: str | None) -> str | None:
     if text is None:
         return None
