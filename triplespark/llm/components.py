@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -22,16 +22,21 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and a sum of hashes, observed while they are written."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return table, tuple(seen.get.values())
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node in edges (u, v): root is the least node of its component. Nothing reaches the driver but sums."""
-    now = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    now, state = _written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        before = state
+        now, state = _written(_stars(_stars(now, small=False), small=True))
+        if state == before:
             break
-        seen = state
-        now = materialize(_stars(_stars(now, small=False), small=True), "stars")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

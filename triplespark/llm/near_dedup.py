@@ -10,7 +10,7 @@ they join documents that are not yet known to be connected, branch further.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,13 @@ def shingles(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= threshold * (len(both) - same)
+
+
 def signature(have: np.ndarray) -> np.ndarray:
     a, b = _multipliers()
     least = np.full(TOKENS, (1 << 64) - 1, np.uint64)
@@ -216,10 +223,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
                 have = shingles(text.encode(), size, hashes)
                 for c in rest:
                     other = shingles(c["text"].encode(), size, hashes)
-                    both = np.concatenate((have, other))
-                    both.sort(kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    if 100 * same >= threshold * (len(both) - same):
+                    if _linked(have, other, threshold):
                         u.append(own)
                         v.append(c["rid"])
             yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -303,25 +307,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
         return materialize(rows.join(several, key), "open")
 
     more = [_grouped(open_(small.select(F.col("node").alias("group"), "rid"), "group"), sketches, F.col("root")).mapInArrow(_compare(least, every=True), PAIRS)]
+    direct = []
     depth, left = DEPTH, open_(large.select("node", "rid"), "node")
     while not left.isEmpty():
         # where one component has most of a large node, the others are held against it; branching would only copy it
-        sizes = left.groupBy("node", "root").count().groupBy("node").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
-        dense = sizes.where("2 * most >= n" if depth < DEEPEST else "true").select("node")
-        more.append(_across(left.join(dense, "node"), sketches, least))
+        sizes = left.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("n"))
+        sizes = materialize(left.join(sizes.select("node", "n", F.col("main.root").alias("main"), (F.col("main.count") * 2 >= F.col("n")).alias("dense")), "node"), "dense")
+        dense = sizes if depth >= DEEPEST else sizes.where("dense")
+        direct.append(_against_main(dense, sketches, texts, size, threshold, least))
+        rest = sizes.where("not dense").select("node", "rid")
         depth += 2
-        rest = left.join(dense, "node", "left_anti").select("node", "rid")
         if depth > DEEPEST or rest.isEmpty():
             break
         small, large = split(rest.join(signs, "rid").mapInArrow(_deeper, "node long, rid long"))
         more.append(_grouped(open_(small.select(F.col("node").alias("group"), "rid"), "group"), sketches, F.col("root")).mapInArrow(_compare(least, every=True), PAIRS))
         left = open_(large.select("node", "rid"), "node")
-    crossing = more[0]
-    for m in more[1:]:
-        crossing = crossing.unionByName(m)
-    crossing = materialize(crossing.select("u", "v").distinct().join(chosen, ["u", "v"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(confirm(crossing, texts, size, threshold))), "roots")
+    crossing = reduce(DataFrame.unionByName, more).select("u", "v").distinct().join(chosen, ["u", "v"], "left_anti")
+    found = reduce(DataFrame.unionByName, [confirm(crossing, texts, size, threshold), *direct])
+    roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "roots")
     of_class = rooted(classes.select("_class", "rid", "low"))
     lows = of_class.groupBy("root").agg(F.min("low").alias("low"))
     of_class = of_class.drop("low").join(lows, "root").select("_class", F.col("low.doc_id").alias("component_id"), F.col("low.rid").alias("_low"))
@@ -330,13 +333,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     return some.unionByName(none)
 
 
-def _across(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs of different roots in large nodes: members outside the node's main component, in blocks,
-    against all of its members."""
-    sizes = rows.groupBy("node", "root").count()
-    main = sizes.groupBy("node").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n")).select("node", F.col("m.root").alias("main"), (F.ceil((F.col("n") - F.col("m.count")) / LARGE)).cast("int").alias("blocks"))
-    rows = rows.join(sketches, "rid").join(main, "node")
-    out = rows.where("root != main").select("node", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "root", "sketch")
-    out = out.groupBy("node", "block").agg(F.collect_list(F.struct("rid", "root", "sketch")).alias("others"))
-    own = rows.select("node", "rid", "root", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return own.join(out, ["node", "block"]).select("rid", "root", "sketch", "others").mapInArrow(_hold(least), PAIRS)
+def _against_main(rows: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, threshold: int, least: float) -> DataFrame:
+    """Links (u, v) in large nodes (node, rid, root, main): the documents outside a main component against all that share
+    nodes with it. Nodes of one main component are one family, so each pair is looked at once; its two sides are dealt in
+    blocks to tasks of their own, where signatures choose the pairs to confirm on full sets, and links alone come out."""
+    family = rows.groupBy("main", "rid").agg(F.min("root").alias("root"))
+    outside = F.col("root") != F.col("main")
+    blocks = family.groupBy("main").agg(F.ceil(F.count_if(outside) / LARGE).cast("int").alias("blocks"), F.ceil(F.count("*") / CONFIRMED).cast("int").alias("parts")).where("blocks > 0")
+    needed = _bloomed(texts, family.select("rid"))
+    held = materialize(family.join(blocks, "main").join(sketches, "rid").join(needed, "rid"), "family")
+    at = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.select("main", at("parts").alias("part"), spread("blocks").alias("block"), "rid", "root", "sketch", "text")
+    right = held.where(outside).select("main", spread("parts").alias("part"), at("blocks").alias("block"), "rid", "root", "sketch", "text")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if a.num_rows and b.num_rows:
+            one, two = (np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS) for t in (a, b))
+            roots = [t["root"].to_numpy() for t in (a, b)]
+            rids = [t["rid"].to_pylist() for t in (a, b)]
+            texts = [binaries(t["text"]) for t in (a, b)]
+            hashes, joined = WordHashes(), {}
+            sets: dict[int, np.ndarray] = {}
+
+            def top(x: int) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            for j in range(len(two)):
+                near = np.flatnonzero(((one == two[j]).mean(1) >= least) & (roots[0] != roots[1][j]))
+                for i in near.tolist():
+                    x, y = top(int(roots[0][i])), top(int(roots[1][j]))
+                    if x == y:
+                        continue
+                    pair = []
+                    for side, k in ((0, i), (1, j)):
+                        rid = rids[side][k]
+                        if rid not in sets:
+                            sets[rid] = shingles(texts[side][k], size, hashes)
+                        pair.append(sets[rid])
+                    if _linked(*pair, threshold):
+                        joined[x] = y
+                        links.append((rids[0][i], rids[1][j]))
+        u, v = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    key = ["main", "part", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "u long, v long")
