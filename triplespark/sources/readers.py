@@ -84,7 +84,7 @@ _LITERAL = r'".*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
 _STATEMENT = rf"^\s*({_IRI}|{_BNODE})\s*({_IRI})\s*({_IRI}|{_BNODE}|{_LITERAL})\s*({_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
 
 
-@F.udf(StringType())
+@F.udf(StringType(), useArrow=False)
 def _unescaped(text: str | None) -> str | None:
     if text is None:
         return None
