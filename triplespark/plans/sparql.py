@@ -81,6 +81,8 @@ class Parser:
         from urllib.parse import urljoin
 
         iri = T.unescape(iri)
+        if iri.startswith("#") and self.base:  # urljoin drops an empty fragment
+            return self.base.partition("#")[0] + iri
         return iri if re.match(r"[A-Za-z][\w+.-]*:", iri) or not self.base else urljoin(self.base, iri)
 
     def iri(self) -> str:
