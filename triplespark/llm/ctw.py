@@ -156,12 +156,19 @@ class Tree:
         order = np.lexsort((context, depth))
         depth, context = depth[order], context[order]
         count = len(order)
-        sizes = pa.compute.list_value_length(rows["bytes"]).to_numpy()
+        sizes = pa.compute.list_value_length(rows["bytes"]).to_numpy().astype(np.int64)
         flat_bytes, flat_counts = pa.compute.list_flatten(rows["bytes"]).to_numpy().astype(np.int64), pa.compute.list_flatten(rows["counts"]).to_numpy()
-        where = np.empty(count, np.int64)
-        where[order] = np.arange(count)
-        counts = np.zeros((count, 256), np.int64)
-        counts[np.repeat(where, sizes), flat_bytes] = flat_counts
+        starts = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+
+        def counts_of(own: np.ndarray) -> np.ndarray:
+            """Counts of the 256 bytes in some contexts."""
+            n = sizes[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out = np.zeros((len(own), 256), np.int64)
+            out[np.repeat(np.arange(len(own)), n), flat_bytes[at]] = flat_counts[at]
+            return out
+
         first = np.searchsorted(depth, np.arange(DEPTH + 2))
         parent = np.full(count, -1, np.int64)
         inner = int(first[DEPTH])
@@ -171,8 +178,13 @@ class Tree:
             shorter = context[own] & ((1 << 8 * (d - 1)) - 1)
             parent[own] = first[d - 1] + np.searchsorted(context[first[d - 1] : first[d]], shorter)
             child[parent[own], context[own] >> 8 * (d - 1)] = own
-        rest = counts.copy()
-        np.subtract.at(rest, parent[1:], counts[1:])
+        # counts in the contexts that share a child
+        rest = np.zeros((count, 256), np.int32 if flat_counts.sum() < 1 << 31 else np.int64)
+        for a in range(0, count, block):
+            own = np.arange(a, min(a + block, count))
+            held = counts_of(own)
+            rest[own] += held.astype(rest.dtype)
+            np.subtract.at(rest, parent[own[own > 0]], held[own > 0].astype(rest.dtype))
         # bottom up: the weighted probability of each context's data, node by node
         below = np.zeros((count, 255), np.float64)
         share = np.ones((count, 255), np.float32)
@@ -182,27 +194,31 @@ class Tree:
                 own = rows_[(rows_ >= first[d]) & (rows_ < first[d + 1])]
                 if not len(own):
                     continue
-                alone = _kt(*_splits(counts[own]))
+                alone = _kt(*_splits(counts_of(own)))
                 weighted = alone
                 if d < DEPTH:
-                    longer = below[own] + _kt(*_splits(rest[own]))
+                    longer = below[own] + _kt(*_splits(rest[own].astype(np.int64)))
                     weighted = np.logaddexp(alone, longer) - math.log(2)
                     share[own] = np.exp(alone - math.log(2) - weighted)
                 if d:
                     np.add.at(below, parent[own], weighted)
         del below
         # top down: what the contexts so far say, and the share left for longer ones
-        said, left = np.zeros((count, 255), np.float32), np.ones((count, 255), np.float32)
         self.logs = np.empty((count, 256), np.float32)
+        above = free = np.zeros((0, 255), np.float32)
         for d in range(DEPTH + 1):
-            for a in range(first[d], first[d + 1], block):
-                own = np.arange(a, min(a + block, first[d + 1]))
-                zeros, ones = _splits(counts[own])
-                above, free = (said[parent[own]], left[parent[own]]) if d else (said[own], left[own])
-                said[own] = above + free * share[own] * (ones + 0.5) / (zeros + ones + 1)
-                left[own] = free * (1 - share[own])
-                zeros, ones = _splits(rest[own])
-                self.logs[own] = _bytes(said[own].astype(float) + left[own] * (ones + 0.5) / (zeros + ones + 1))
+            low, high = int(first[d]), int(first[d + 1])
+            said, left = np.empty((high - low, 255), np.float32), np.empty((high - low, 255), np.float32)
+            for a in range(low, high, block):
+                own = np.arange(a, min(a + block, high))
+                zeros, ones = _splits(counts_of(own))
+                up = parent[own] - int(first[d - 1])
+                before, rest_of = (above[up], free[up]) if d else (0.0, 1.0)
+                said[own - low] = before + rest_of * share[own] * (ones + 0.5) / (zeros + ones + 1)
+                left[own - low] = rest_of * (1 - share[own])
+                zeros, ones = _splits(rest[own].astype(np.int64))
+                self.logs[own] = _bytes(said[own - low].astype(float) + left[own - low] * (ones + 0.5) / (zeros + ones + 1))
+            above, free = said, left
         self.child = child
 
     def score(self, text: bytes) -> float:
