@@ -20,10 +20,9 @@ def test_presence_is_brute_force():
     union = set().union(*map(grams, marks))
     texts = ["the gut", "là!", "12", "THE CAT"]
     rows, worded = g.presence([t.encode() for t in texts])
-    blank = g.presence([b""])[0][0]
     assert worded.tolist() == [True, True, False, True]
     for t, row in zip(texts, rows, strict=True):
-        assert int((row - blank).sum()) == len(grams(t) & union)
+        assert int(row.sum()) == len(grams(t) & union)
 
 
 def test_batched_product_is_the_kernel():

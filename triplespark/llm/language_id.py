@@ -54,6 +54,7 @@ class Grams:
         codes = self._codes([b" ".join([t]) for t in landmarks])[0]
         for n in (1, 2, 3):
             have = np.unique(self._grams(codes, n))
+            have = have[have > 0]  # blanks alone say nothing
             table = np.full(self.base**n, -1, np.int32)
             table[have] = np.arange(self.count, self.count + len(have))
             self.count += len(have)
