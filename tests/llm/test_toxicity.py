@@ -24,10 +24,10 @@ def test_lexicon():
 
 
 def test_learned_words_and_exceptions(spark):
-    rows = [(f"you are an idiot{i % 3} x{i}", 1) for i in range(60)] + [(f"a village idiot{i % 3} came y{i}", 0) for i in range(60)] + [(f"nothing at all z{i}", 0) for i in range(200)]
+    rows = [(f"you are an idiot{"xyz"[i % 3]} x{i}", 1) for i in range(60)] + [(f"a village idiot{"xyz"[i % 3]} came y{i}", 0) for i in range(60)] + [(f"nothing at all z{i}", 0) for i in range(200)]
     lexicon = learn(spark.createDataFrame(rows, "text string, toxic int"))
-    assert "idiot*" in lexicon.entries and "village idiot1" in lexicon.exceptions
-    assert lexicon.score("you are an idiot1") > 0.5 > lexicon.score("a village idiot1 came")
+    assert "idiot*" in lexicon.entries and "village idioty" in lexicon.exceptions
+    assert lexicon.score("you are an idioty") > 0.5 > lexicon.score("a village idioty came")
 
 
 def test_query(spark):

@@ -29,12 +29,12 @@ def canonical(host: Column, path: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule, with its verdict; rules are pairs of verdict and host/path."""
-    rule = verdict = None
+    rule = verdict = F.lit(None).cast("string")
     for said, text in sorted(rules, key=lambda r: len(r[1])):
         at, slash, rest = text.partition("/")
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(slash + rest)
-        rule = F.when(fits, text).otherwise(F.lit(None).cast("string") if rule is None else rule)
-        verdict = F.when(fits, said).otherwise(F.lit(None).cast("string") if verdict is None else verdict)
+        rule = F.when(fits, text).otherwise(rule)
+        verdict = F.when(fits, said).otherwise(verdict)
     return rule, verdict
 
 
