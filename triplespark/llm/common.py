@@ -84,23 +84,26 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > self.most:
-                known.clear()
-            for i, g in enumerate(got):
-                if g is None:
-                    w = words[i]
-                    got[i] = known[w] = xxh3_64_intdigest(w)
-        return np.array(got, np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random long for each byte at each of the first 64 places of a word.
+_PLACES = 64
+_BYTES = mix(mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def hash_words(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the runs without ASCII white space: sums of a random long for each byte and place, mixed with the length."""
+    b = np.frombuffer(text or b"", np.uint8)
+    word = ~_SPACE[b]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    sizes = edges[1::2] - edges[::2]
+    body = b[word]
+    starts = np.cumsum(sizes) - sizes
+    at = (np.arange(len(body)) - np.repeat(starts, sizes)) * 256 + body
+    with np.errstate(over="ignore"):
+        if sizes.max() <= _PLACES:
+            values = _BYTES[at]
+        else:
+            values = np.where(at < len(_BYTES), _BYTES[np.minimum(at, len(_BYTES) - 1)], mix(mix((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        return mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binaries, materialize, mix, tune
+from .common import binaries, hash_words, materialize, mix, tune
 from .components import components
 
 #: Minwise tokens of a signature.
@@ -40,12 +40,11 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, TOKENS, np.uint64)
 
 
-def shingles(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: bytes | None, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; of a text with fewer words, one hash of all of them; none without words."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes(words)
+    h = hash_words(text.lower() if text else text)
+    if not len(h):
+        return h
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     with np.errstate(over="ignore"):
@@ -216,13 +215,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
     together = parents.join(children.groupBy("u", "part").agg(F.collect_list(kept).alias("children")), ["u", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             u, v = [], []
             for own, text, rest in zip(b.column("u").to_pylist(), b.column("text").to_pylist(), b.column("children").to_pylist(), strict=True):
-                have = shingles(text.encode(), size, hashes)
+                have = shingles(text.encode(), size)
                 for c in rest:
-                    other = shingles(c["text"].encode(), size, hashes)
+                    other = shingles(c["text"].encode(), size)
                     if _linked(have, other, threshold):
                         u.append(own)
                         v.append(c["rid"])
@@ -260,11 +258,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        hashes = WordHashes()
         for b in batches:
             counts, classes, signs = [], [], []
             for t in binaries(b.column("text")):
-                have = shingles(t, size, hashes)
+                have = shingles(t, size)
                 counts.append(len(have))
                 classes.append(xxh3_128_digest(have.tobytes()) if len(have) else None)
                 signs.append(signature(have).tobytes() if len(have) else None)
@@ -354,7 +351,7 @@ def _against_main(rows: DataFrame, sketches: DataFrame, texts: DataFrame, size:
             roots = [t["root"].to_numpy() for t in (a, b)]
             rids = [t["rid"].to_pylist() for t in (a, b)]
             texts = [binaries(t["text"]) for t in (a, b)]
-            hashes, joined = WordHashes(), {}
+            joined: dict[int, int] = {}
             sets: dict[int, np.ndarray] = {}
 
             def top(x: int) -> int:
@@ -372,7 +369,7 @@ def _against_main(rows: DataFrame, sketches: DataFrame, texts: DataFrame, size:
                     for side, k in ((0, i), (1, j)):
                         rid = rids[side][k]
                         if rid not in sets:
-                            sets[rid] = shingles(texts[side][k], size, hashes)
+                            sets[rid] = shingles(texts[side][k], size)
                         pair.append(sets[rid])
                     if _linked(*pair, threshold):
                         joined[x] = y

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binaries, materialize, mix, tune
+from .common import binaries, hash_words, materialize, mix, tune
 
-#: Words of a phrase. In an automaton a word is a character: 20 bits of its hash, so six take two longs.
+#: Words of a phrase. A word stands for 20 bits of its hash, so six take two longs.
 PHRASE = 6
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 12 << 20
@@ -50,23 +50,34 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return out if span == width else np.minimum(out[: len(h) - width + 1], out[width - span :])
 
 
+def _rolled(h: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Polynomial hashes of `length` neighbours: those of powers of two, joined."""
+    out, done, span, power = None, 0, 1, h
+    with np.errstate(over="ignore"):
+        while length:
+            step = np.uint64(pow(base, span, 1 << 64))
+            if length & 1:
+                out = power if out is None else out[: len(power) - done] * step + power[done:]
+                done += span
+            length >>= 1
+            if length:
+                power = power[:-span] * step + power[span:]
+                span *= 2
+    return out
+
+
 def _windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """By start: a long and an int of the window's hash."""
     n = len(hashes) - length + 1
-    acc = np.zeros(n, np.uint64)
-    for j in range(length):
-        acc *= _M
-        acc += hashes[j : j + n]
-    other = np.zeros(n, np.uint64)
-    mixed = mix(hashes)
-    for j in range(length):
-        other *= np.uint64(0xD6E8FEB86659FD93)
-        other += mixed[j : j + n]
-    return mix(acc).view(np.int64), (mix(other) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    one, two = _rolled(hashes, length, int(_M))[:n], _rolled(mix(hashes), length, 0xD6E8FEB86659FD93)[:n]
+    return mix(one).view(np.int64), (mix(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _text(hashes: np.ndarray) -> str:
-    return (_chars(hashes) + 0x10000).astype("<u4").tobytes().decode("utf-32-le")
+def _text(codes: np.ndarray) -> str:
+    """Four characters for each word, of alphabets of their own: the automaton looks a node's children up one by one, so
+    they must be few, and a match can start at the first of the four only."""
+    digits = np.stack([codes >> 15, codes >> 10, codes >> 5, codes], -1) & 31
+    return (digits + np.array([1, 33, 65, 97])).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def _automaton(a: np.ndarray, b: np.ndarray):
@@ -74,10 +85,9 @@ def _automaton(a: np.ndarray, b: np.ndarray):
 
     found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     low = (1 << 20) - 1
-    codes = np.stack([a >> 40, a >> 20 & low, a & low, b >> 40, b >> 20 & low, b & low], 1) + 0x10000
-    text = codes.astype("<u4").tobytes().decode("utf-32-le")
-    for i in range(0, len(text), PHRASE):
-        found.add_word(text[i : i + PHRASE])
+    text = _text(np.stack([a >> 40, a >> 20 & low, a & low, b >> 40, b >> 20 & low, b & low], 1))
+    for i in range(0, len(text), 4 * PHRASE):
+        found.add_word(text[i : i + 4 * PHRASE])
     found.make_automaton()
     return found
 
@@ -85,7 +95,7 @@ def _automaton(a: np.ndarray, b: np.ndarray):
 def _candidates(hashes: np.ndarray, automaton, length: int) -> np.ndarray:
     """By start of a window: whether its least phrase recurs."""
     _, _, h = _phrases(hashes)
-    starts = np.array([end - PHRASE + 1 for end, _ in automaton.iter(_text(hashes))], np.int64)
+    starts = np.array([end for end, _ in automaton.iter(_text(_chars(hashes)))], np.int64) // 4 - PHRASE + 1
     if not len(starts):
         return np.zeros(len(hashes) - length + 1, bool)
     return np.isin(_least(h, length - PHRASE + 1), h[starts])
@@ -127,14 +137,13 @@ def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] =
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[1:3])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = WordHashes()
         for b in batches:
             parts = []
             for s, t in zip(b.column("shard").to_pylist(), binaries(b.column("text")), strict=True):
-                words = t.split() if t else []
+                words = hash_words(t)
                 if len(words) < length:
                     continue
-                x, y, h = _phrases(hashes_of(words))
+                x, y, h = _phrases(words)
                 values, first, counts = np.unique(h, return_index=True, return_counts=True)
                 own = np.isin(values, _least(h, length - PHRASE + 1))
                 first = first[own]
@@ -147,14 +156,13 @@ def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] =
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = _automaton(right["a"].to_numpy(), right["b"].to_numpy()) if right.num_rows else None
-        hashes_of = WordHashes()
         counts, shas, own, marks = [], [], [], []
         for t in binaries(left["text"]):
-            words = t.split() if t else []
-            counts.append(len(words))
-            mark = _candidates(hashes_of(words), automaton, length) if automaton and len(words) >= length else None
+            hashes = hash_words(t)
+            counts.append(len(hashes))
+            mark = _candidates(hashes, automaton, length) if automaton and len(hashes) >= length else None
             some = mark is not None and mark.any()
-            shas.append(None if some else _sha(words))
+            shas.append(None if some else _sha(t.split() if t else []))
             own.append(t if some or texts else None)
             marks.append(np.packbits(mark).tobytes() if some else None)
         return pa.table([left["shard"], left["doc_id"], left["carried"], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(own, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "carried", "n_words", "sha", "text", "marks"])
@@ -163,13 +171,12 @@ def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] =
     held = located.where("marks is not null")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = WordHashes()
         for b in batches:
             own, marks = b.column("text").to_pylist(), b.column("marks").to_pylist()
             for s, rows in _by_shard(b.column("shard").to_numpy()):
                 parts = []
                 for i in rows.tolist():
-                    h = hashes_of(own[i].split())
+                    h = hash_words(own[i])
                     mark = np.unpackbits(np.frombuffer(marks[i], np.uint8), count=len(h) - length + 1).view(bool)
                     parts.append([k[mark] for k in _windows(h, length)])
                 (w, v), n = _counted([np.concatenate(p) for p in zip(*parts, strict=True)])
@@ -183,11 +190,10 @@ def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] =
         keys["w"], keys["v"] = right["w"].to_numpy(), right["v"].to_numpy()
         order = np.argsort(keys["w"], kind="stable")
         w, v = keys["w"][order], keys["v"][order]
-        hashes_of = WordHashes()
         removed, shas, kept_texts, counts = [], [], [], []
         for t in left["text"].to_pylist():
             words = t.split()
-            x, y = _windows(hashes_of(words), length)
+            x, y = _windows(hash_words(t), length)
             hit = np.zeros(len(x), bool)
             at = np.searchsorted(w, x)
             while True:  # longs that meet are told apart by their ints
