@@ -6,11 +6,15 @@ n_chars); the last adds columns. run() writes each stage's rows as Parquet in th
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplespark.llm import language_id
-from triplespark.llm.common import materialize, release
+from triplespark.llm.common import materialize, owned, release
 from triplespark.llm.decontaminate import decontaminate
 from triplespark.llm.mixing import mix_documents
 from triplespark.llm.near_dedup import near_duplicates
@@ -66,15 +70,29 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs.select(*COLUMNS), keep=KEEP).where("sampled").drop("sampled")
 
 
-STAGES = [("language ID", language), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+def _alone(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes the tables that the stage before it worked with: its rows have been written by now."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        with owned("stage"):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(n, _alone(f)) for n, f in (("language ID", language), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("decontamination", decontamination), ("mixing", mixing))]
 
 #: SQL can't express the language stage, and with it the pipeline; tests hold it against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    release(spark)
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    docs, this = spark.read.parquet(f"{sf_dir}/documents.parquet"), uuid.uuid4().hex
+    for i, (name, stage) in enumerate(STAGES):
+        with owned(f"{this} {i}"):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(spark, f"{this} {i - 1}")
+    release(spark, "stage")
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch: long texts stay within a few MB a batch.
 ROWS_PER_BATCH = 500
 
-_written: dict[str, list[str]] = {}
+_written: dict[tuple[str, str], list[str]] = {}
+_owner = [""]
 
 
 def tune(spark: SparkSession) -> None:
@@ -37,14 +39,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that materialize() wrote; call it once their results are written."""
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Tables written within belong to this name, for release()."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables that materialize() wrote under a name; call it once what was made of them is written."""
     jvm = spark.sparkContext._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in _written.pop((spark.sparkContext.applicationId, name), []):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
