@@ -128,3 +128,27 @@ def test_pieces(monkeypatch):
     whole = ctw._grams(lines)
     monkeypatch.setattr(ctw, "PIECE", 7)
     assert np.concatenate([ctw._grams([p])[skip:] for p, skip in ctw._pieces(lines[0])]).tolist() == whole.tolist()
+
+
+def test_every_context_counts(spark):
+    """Against brute force without a cut: a context that occurs once in a large corpus is a context still."""
+    from functools import cache
+
+    texts = ["abab abc", "Ünï bca", "", "cab abab", "abab abc"]
+    brute = Brute([ctw.line(t.encode()) for t in texts], 0)
+    brute.weigh = cache(brute.weigh)
+    others = ["abab", "zz", "cabc a", "Ünï x", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + others)], "doc_id long, text string").repartition(3)
+    rows = ctw.score(docs, ctw.F.col("doc_id") < len(texts)).collect()
+    assert len(rows) == len(texts + others)
+    for r in rows:
+        said = ctw.line(((texts + others)[r.doc_id] or "").encode())
+        assert r.score == pytest.approx(brute.score(said), rel=1e-5)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(said))
+
+
+def test_rare_contexts_are_learnt(spark):
+    """A word that holds less than 1e-5 of the training bytes is scored as known."""
+    docs = spark.createDataFrame([(i, "the same words again and again " * 40) for i in range(400)] + [(1000, "qzvxkj"), (1001, "qzvxkj"), (1002, "jkxvzq")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score(docs, ctw.F.col("doc_id") <= 1000).where("doc_id > 1000").collect()}
+    assert got[1001] > got[1002] + 6

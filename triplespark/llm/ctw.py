@@ -5,8 +5,10 @@ a context of the preceding bytes and the bits decided so far keeps counts of bot
 Trofimov, and mixes, half and half a priori, its own estimate with those of all longer contexts. The model is the tree
 after all training texts; a text's score is the log10 probability that the weighted mixture gives it.
 
-The tree has a child for each context that holds at least SHARE of the training bytes, so at most 1 / SHARE a depth,
-however large the corpus; all other extensions of a context share one child, which is a leaf.
+The tree has every context of up to DEPTH bytes that occurs in training, so it grows with the corpus. It is sharded by
+the two bytes before the predicted one: below them a shard weighs its contexts alone, and only the sums by the last byte,
+256 * 255 at most, meet on the driver. Documents are worked on in parts; a part sends each of its distinct contexts with
+the next byte to its shard once, and gets its probability back.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from .words import count_words, frequent, match_words, rare_rows, split_lower
 
 #: Bytes of context.
 DEPTH = 6
-#: Least share of the training bytes that a context must hold.
-SHARE = 1e-5
+#: Shards of the tree: each holds all contexts that end in some of the 65,536 pairs of bytes.
+SHARDS = 1024
 END = b"\n"
 #: Bytes of text worked on together.
 PIECE = 2 << 20
+#: Bytes of text, about, whose contexts are sent to the shards together.
+PART = 8 << 20
 
 
 def line(text: bytes) -> bytes:
@@ -67,33 +71,6 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) over the lines of column text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            keys, counts = _merged(held)
-            held.clear()
-            return pa.record_batch({"gram": pa.array(keys), "n": pa.array(counts)})
-
-        for b in batches:
-            for _, texts in chunks(binaries(b.column("text")), PIECE):
-                if len(texts) > 1 or len(texts[0]) <= PIECE:
-                    held.append(np.unique(_grams([line(t) for t in texts]), return_counts=True))
-                else:
-                    held += [np.unique(_grams([piece])[skip:], return_counts=True) for piece, skip in _pieces(line(texts[0]))]
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    held[:] = [_merged(held)]
-                    if len(held[0][0]) > 2_000_000:
-                        yield out()
-        if held:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def contexts(grams: DataFrame, total: int, share: float) -> pa.Table:
     """(depth, context, bytes, counts) of every context with at least share of total: at most DEPTH / share + 1 rows."""
     out = None
@@ -148,7 +125,9 @@ def _bytes(one: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """states: log10 probabilities of each byte by context; child: by context and preceding byte, the longer context or -1."""
+    """A tree of some contexts held whole, for small corpora; score() below uses Shard.
+
+    states: log10 probabilities of each byte by context; child: by context and preceding byte, the longer context or -1."""
 
     def __init__(self, rows: pa.Table, block: int = 1024) -> None:
         depth = rows["depth"].to_numpy()
@@ -244,7 +223,259 @@ class Tree:
         return self.logs.reshape(-1)[state.astype(np.int64) * 256 + x[at]]
 
 
-def score(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame:
+class Counts:
+    """Counts of 0 and 1 by context of one depth and inner node of the bit tree, for the nodes that occur alone.
+
+    grams: context << 8 | byte, sorted. By level b of the bit tree, keys[b] is context << 8 | node, sorted, where node has a
+    leading one and b bits."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
+        self.keys, self.chance, self.alone = [], [], []
+        context, byte = grams & ~255, grams & 255
+        for b in range(8):
+            key = context | 1 << b | byte >> (8 - b)
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            one = n * (byte >> (7 - b) & 1)
+            both, ones = (np.add.reduceat(x, first) if len(first) else x for x in (n, one))
+            self.keys.append(key[first])
+            self.chance.append((ones + 0.5) / (both + 1))
+            self.alone.append(_kt(both - ones, ones))
+        self.share = [np.ones(len(k)) for k in self.keys]
+        self.weighted = self.alone
+
+    def weigh(self, below: list[np.ndarray]) -> None:
+        """below: by level and key, the log of the product of the longer contexts' weighted probabilities."""
+        self.weighted = [np.logaddexp(a, x) - math.log(2) for a, x in zip(self.alone, below, strict=True)]
+        self.share = [np.exp(a - math.log(2) - w) for a, w in zip(self.alone, self.weighted, strict=True)]
+
+    def find(self, b: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys are; whether they are there."""
+        own = self.keys[b]
+        if not len(own):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return at, own[at] == keys
+
+
+def _low(d: int) -> int:
+    """Masks a gram to a context of d bytes and the byte."""
+    return (1 << 8 * (d + 1)) - 1
+
+
+class Shard:
+    """The contexts of 2 to DEPTH bytes in some grams (sorted, with training counts above 0), weighed bottom up."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
+        self.depths: dict[int, Counts] = {}
+        longer = None
+        for d in range(DEPTH, 1, -1):
+            if d < DEPTH:
+                grams, n = _merged([(grams & _low(d), n)]) if len(grams) else (grams, n)
+            own = self.depths[d] = Counts(grams, n)
+            if longer:
+                own.weigh([np.bincount(np.searchsorted(own.keys[b], longer.keys[b] & _low(d)), longer.weighted[b], len(own.keys[b])) for b in range(8)])
+            longer = own
+        self.grams, self.n = grams, n
+
+    def sums(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, n, weighted) for contexts of one byte: counts by gram, and sums of the weighted logs by node."""
+        if len(self.grams):
+            keys, n = _merged([(self.grams & _low(1), self.n)])
+            yield keys, n, np.zeros(len(keys))
+            for b, keys in enumerate(self.depths[2].keys):
+                keys, w = _merged([(keys & _low(1), self.depths[2].weighted[b])])
+                yield keys | 1 << 16, np.zeros(len(keys), np.int64), w
+
+    def logs(self, grams: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log2 probability of each gram's byte after its context; unknown contexts give each bit 1/2."""
+        out = np.zeros(len(grams))
+        byte = grams & 255
+        for b in range(8):
+            node = 1 << b | byte >> (8 - b)
+            said, left = (x[grams & 0xFF00 | node] for x in top)
+            alive = np.flatnonzero(left > 0)
+            for d in range(2, DEPTH + 1):
+                own = self.depths[d]
+                at, ok = own.find(b, grams[alive] & _low(d) & ~255 | node[alive])
+                lost = alive[~ok]
+                said[lost] += left[lost] / 2
+                alive, at = alive[ok], at[ok]
+                said[alive] += left[alive] * own.share[b][at] * own.chance[b][at]
+                left[alive] *= 1 - own.share[b][at]
+            out += np.log2(np.where(byte >> (7 - b) & 1, said, 1 - said))
+        return out
+
+
+def top_of(keys: np.ndarray, n: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By last byte << 8 | node: what contexts of no and one byte say of a 1, and the share left for longer ones; from Shard.sums."""
+    order = np.argsort(keys)
+    keys, n, weighted = keys[order], n[order], weighted[order]
+    grams, nodes = keys < 1 << 16, keys >= 1 << 16
+    below = np.zeros(1 << 16)
+    below[keys[nodes] - (1 << 16)] = weighted[nodes]
+    one = Counts(keys[grams], n[grams])
+    one.weigh([below[k] for k in one.keys])
+    none = Counts(*_merged([(keys[grams] & 255, n[grams])])) if grams.any() else Counts(keys[grams], n[grams])
+    none.weigh([np.bincount(np.searchsorted(none.keys[b], one.keys[b] & 255), one.weighted[b], len(none.keys[b])) for b in range(8)])
+    said, left = np.full((256, 256), 0.5), np.zeros((256, 256))
+    for b in range(8):
+        for k, share, p in zip(none.keys[b].tolist(), none.share[b], none.chance[b], strict=True):
+            said[:, k], left[:, k] = share * p + (1 - share) * 0.5, 1 - share
+    said, left = said.reshape(-1), left.reshape(-1)
+    free = np.zeros(1 << 16)
+    for b in range(8):
+        k = one.keys[b]
+        said[k] += left[k] * (one.share[b] * one.chance[b] - 0.5)
+        free[k] = left[k] * (1 - one.share[b])
+    return said, free
+
+
+def _shard(grams: np.ndarray) -> np.ndarray:
+    return (grams >> 8 & 0xFFFF) * 0x9E37 % (1 << 16) * SHARDS >> 16
+
+
+def _by_shard(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of grams by shard, then gram; the shards' bounds in it."""
+    shard = _shard(grams)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(SHARDS + 1))
+
+
+def _pack(grams: np.ndarray, n: np.ndarray) -> bytes:
+    planes = np.concatenate((np.diff(grams, prepend=0), n)).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, size * 16, "zstd", asbytes=True), np.uint8)
+    both = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
+    return np.cumsum(both[:size]), both[size:]
+
+
+def _gram_chunks(lines: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first line, grams, the line of each from there), PIECE bytes or so at a time."""
+    for at, some in chunks(lines, PIECE):
+        if len(some) > 1 or len(some[0]) <= PIECE:
+            yield at, _grams(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+        else:
+            for piece, skip in _pieces(some[0]):
+                grams = _grams([piece])[skip:]
+                yield at, grams, np.zeros(len(grams), np.int64)
+
+
+def cut_parts(docs: DataFrame, train: Column) -> DataFrame:
+    """A table of documents' lines (part, rid, doc_id, train, text), and of the grams in each part: (part, shard, size, data).
+
+    data has a part's distinct grams in a shard and how often each occurs in training documents, 0 included."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size, held = None, 0, []
+        names = ["part", "rid", "doc_id", "train", "text", "shard", "size", "data"]
+        doc_id = None
+
+        def close() -> pa.RecordBatch:
+            grams, n = _merged(held)
+            held.clear()
+            order, bounds = _by_shard(grams)
+            grams, n = grams[order], n[order]
+            some = np.flatnonzero(np.diff(bounds))
+            data = [_pack(grams[bounds[i] : bounds[i + 1]], n[bounds[i] : bounds[i + 1]]) for i in some]
+            k = len(some)
+            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, doc_id), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array(np.diff(bounds)[some], pa.int64()), pa.array(data, pa.binary())], names)
+
+        for b in batches:
+            doc_id = b.schema.field("doc_id").type
+            for at, texts in chunks(binaries(b.column("text")), PIECE):
+                rows = b.slice(at, len(texts))
+                part = rows["rid"][0].as_py() if part is None else part
+                lines = [line(t) for t in texts]
+                k = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), rows["rid"], rows["doc_id"], rows["train"], pa.array(lines, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+                for learnt in (True, False):
+                    own = [x for x, t in zip(lines, rows["train"].to_pylist(), strict=True) if t is learnt]
+                    for _, grams, _ in _gram_chunks(own):
+                        keys, n = np.unique(grams, return_counts=True)
+                        held.append((keys, n * learnt))
+                if sum(len(k) for k, _ in held) > 6_000_000:
+                    held[:] = [_merged(held)]
+                size += sum(map(len, lines))
+                if size >= PART:
+                    yield close()
+                    part, size = None, 0
+        if held:
+            yield close()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), "text")
+    return materialize(rows.mapInArrow(run, f"part long, rid long, doc_id {kind}, train boolean, text binary, shard int, size long, data binary"), "parts")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of equal key, which follow each other."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_pylist():
+            if held and held[0][key] != r[key]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _all_grams(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for r in rows:
+        held.append(_unpack(r["data"], r["size"]))
+        if len(held) > 1 and sum(len(k) for k, _ in held) > max(4_000_000, 2 * len(held[0][0])):
+            held = [_merged(held)]
+    return _merged(held)
+
+
+def tree_scores(parts: DataFrame) -> DataFrame:
+    """(row, score, size): a line's log10 probability and its bytes, by rid of cut_parts."""
+    spark = parts.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "shard"):
+            grams, n = _all_grams(rows)
+            for k, c, w in Shard(grams[n > 0], n[n > 0]).sums():
+                yield pa.record_batch({"key": pa.array(k), "n": pa.array(c), "w": pa.array(w)})
+
+    blobs = parts.where("shard is not null").select("part", "shard", "size", "data").repartition(width, "shard").sortWithinPartitions("shard")
+    sums = blobs.mapInArrow(weigh, "key long, n long, w double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    top = spark.sparkContext.broadcast(top_of(*(sums[c].to_numpy() for c in ("key", "n", "w"))))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "shard"):
+            grams, n = _all_grams(rows)
+            logs = Shard(grams[n > 0], n[n > 0]).logs(grams, top.value).astype(np.float32)
+            for a in range(0, len(rows), 100):
+                some = rows[a : a + 100]
+                data = [logs[np.searchsorted(grams, _unpack(r["data"], r["size"])[0])].tobytes() for r in some]
+                yield pa.record_batch({"part": pa.array([r["part"] for r in some], pa.int64()), "shard": pa.array([r["shard"] for r in some], pa.int32()), "rid": pa.nulls(len(some), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part"):
+            lines = [r["data"] for r in rows if r["shard"] < 0]
+            found = [(at, own, *np.unique(grams, return_inverse=True)) for at, grams, own in _gram_chunks(lines)]
+            found = [(at, own, keys, back.astype(np.int32)) for at, own, keys, back in found]
+            grams = np.unique(np.concatenate([x[2] for x in found]))
+            logs = np.empty(len(grams), np.float32)
+            logs[_by_shard(grams)[0]] = np.frombuffer(b"".join(r["data"] for r in rows if r["shard"] >= 0), np.float32)
+            out = np.zeros(len(lines))
+            for at, own, keys, back in found:
+                sums = np.bincount(own, logs[np.searchsorted(grams, keys)][back])
+                out[at : at + len(sums)] += sums
+            yield pa.record_batch({"row": pa.array([r["rid"] for r in rows if r["shard"] < 0], pa.int64()), "score": pa.array(out * math.log10(2)), "size": pa.array([len(x) for x in lines], pa.int64())})
+
+    answers = blobs.mapInArrow(answer, "part long, shard int, rid long, data binary")
+    texts = parts.where("shard is null").select("part", F.lit(-1).alias("shard"), "rid", F.col("text").alias("data"))
+    return answers.unionByName(texts).repartition(width, "part").sortWithinPartitions("part", "shard").mapInArrow(finish, "row long, score double, size long")
+
+
+def score(docs: DataFrame, train: Column) -> DataFrame:
     """Learn from the rows of docs (doc_id, text) where `train` holds, and score all of them.
 
     One row for each row of docs, repeated rows and equal or null doc_ids included: doc_id, n_tokens (words and one end),
@@ -253,12 +484,14 @@ def score(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame:
     token's base is log10(0.1 / 0.1) = 0, and the tree is empty, with a probability of 1/2 for each bit.
     Other columns are not read.
 
-    Counts of words and of byte contexts cover all training texts. The tree's size is bounded by `share`; it is built on
-    the driver and sent to executors. Words' counts are joined: frequent ones by a bounded table, others by a shuffle.
+    Counts of words and of byte contexts cover all training texts, and every context counts. The tree stays in shards on
+    executors. Words' counts are joined: frequent ones by a bounded table, others by a shuffle.
     """
     spark = docs.sparkSession
     tune(spark)
-    learnt = docs.where(train).select("text")
+    parts = cut_parts(docs, train)
+    lines = parts.where("shard is null")
+    learnt = lines.where("train").select("text")
     words = materialize(count_words(learnt, split_lower), "words")
     tokens, distinct = words.agg(F.sum("n"), F.count("*")).first()
     ends = learnt.count()
@@ -266,9 +499,7 @@ def score(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame:
     floor = 0.1 * (distinct + 1) + tokens
     table = frequent(words).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)))
-    grams = materialize(count_grams(learnt.select(F.coalesce("text", F.lit("")).alias("text"))), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    tree = spark.sparkContext.broadcast(Tree(contexts(grams, total, share)) if total else None)
+    scores = materialize(tree_scores(parts), "scores")
 
     def of(text: bytes, frequencies: dict[bytes, int]) -> tuple[tuple, dict[bytes, int]]:
         from .words import key_of
@@ -282,14 +513,13 @@ def score(docs: DataFrame, train: Column, share: float = SHARE) -> DataFrame:
             else:
                 w = key_of(w)
                 rare[w] = rare.get(w, 0) + k
-        said = line(text)
-        value = tree.value.score(said) if tree.value else len(said) * 8 * math.log10(0.5)
-        return (n, seen, base, value, -value / math.log10(2) / len(said)), rare
+        return (n, seen, base), rare
 
-    matched = match_words(docs, "n_tokens long, n_seen long, base double, score double, bits_per_byte double", of, split_lower)
+    named = lines.select(F.struct("rid", "doc_id").alias("doc_id"), "text")
+    matched = match_words(named, "n_tokens long, n_seen long, base double", of, split_lower)
     joined = rare_rows(matched).join(words.withColumnRenamed("n", "c"), "word", "left")
     part = joined.groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / floor)).alias("rare_base"))
-    return matched.drop("rare").join(part, "rid", "left").select(
-        "doc_id", "n_tokens", (F.col("n_seen") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+    return matched.drop("rare").join(part, "rid", "left").withColumn("row", F.col("doc_id.rid")).join(scores, "row").select(
+        F.col("doc_id.doc_id").alias("doc_id"), "n_tokens", (F.col("n_seen") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("size")).alias("bits_per_byte"),
     )
