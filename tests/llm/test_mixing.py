@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD, SF
-from triplespark.llm import queries
+from triplespark.llm import mixing, queries
 from triplespark.llm.mixing import calibrate, mix_documents, rake
 
 
@@ -49,3 +49,29 @@ def test_targets_and_odd_rows(spark, odd, no_docs):
     assert all(r.sampled for r in mix_documents(odd, keep=1.0).collect())
     assert all(r.sampled for r in mix_documents(odd.where("text is null or text = ''")).collect())
     assert mix_documents(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("cells", [50_000, 0])
+def test_every_source_has_its_own_target(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    size = {"hot": 100_000} | {f"t{i}": 5 for i in range(500)}
+    docs = spark.createDataFrame([(i, "w " * n, "en", k) for i, (k, n) in enumerate(size.items())], "doc_id long, text string, lang string, source string")
+    total, flat = sum(size.values()), sum(n**0.5 for n in size.values())
+    for r in mix_documents(docs).collect():
+        assert r.n_tokens * r.cell_weight == pytest.approx(total * size[r.source] ** 0.5 / flat)
+    got = {r.source: r.n_tokens * r.cell_weight for r in mix_documents(docs, targets={"source": {"t7": 0.25}}).collect()}
+    assert got["t7"] == pytest.approx(0.25 * total)
+    assert got["t8"] == pytest.approx(0.75 * total * 5**0.5 / (flat - 5**0.5))
+
+
+def test_cells_as_a_table_are_raked_alike(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(0, 60)), ["en", "fr", None][rng.integers(3)], f"s{rng.integers(6)}") for i in range(120)] + [(999, None, "xx", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("t", mixing.F.col("doc_id") % 3)
+    out = []
+    for cells in (50_000, 0):
+        monkeypatch.setattr(mixing, "CELLS", cells)
+        got = mix_documents(docs, topic=docs["t"], targets={"language": {"fr": 0.5, "nowhere": 0.1}, "source": {"s1": 0.0}}).collect()
+        out.append(sorted((r.doc_id, r.cell_weight, r.probability) for r in got))
+    assert len(out[0]) == len(rows)
+    assert np.allclose(out[0], out[1], rtol=1e-6)

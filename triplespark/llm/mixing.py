@@ -2,19 +2,24 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked until their sums agree with the
 target of every source, language and topic in turn; documents are then sampled with probabilities that give each cell its
-raked weight, calibrated to a budget of tokens.
+raked weight, calibrated to a budget of tokens. Every value of source, language and topic has a target of its own, however
+rare. A bounded number of cells is raked in the driver's arrays; more are raked as a table, with the same results.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE, OTHER = "(none)", "(other)"
+from .common import materialize, owned, release
+
+NONE = "(none)"
 DIMENSIONS = ("source", "language", "topic")
-#: Values with less than this share of the tokens share the stratum (other); raised tenfold while there are more than CELLS cells.
-LEAST_SHARE, CELLS = 1e-4, 50_000
+KEYS = ["_source", "_language", "_topic"]
+#: Cells raked on the driver, at most. How they are raked does not change the results.
+CELLS = 50_000
 
 
 def form(text: Column) -> Column:
@@ -59,7 +64,8 @@ def calibrate(tokens: np.ndarray, rates: np.ndarray, budget: float) -> np.ndarra
 
 def targets_of(names: list[str], tokens: np.ndarray, given: dict[str, float] | None, power: float) -> np.ndarray:
     """Target tokens by name, which sum to those of the corpus: the given shares, and for the rest, shares flattened by a power."""
-    given = {k: v for k, v in (given or {}).items() if k in names}
+    known = set(names)
+    given = {k: v for k, v in (given or {}).items() if k in known}
     flat = np.where(tokens > 0, tokens.astype(float) ** power, 0.0)
     for i, k in enumerate(names):
         if k in given:
@@ -72,6 +78,72 @@ def targets_of(names: list[str], tokens: np.ndarray, given: dict[str, float] | N
     return shares / shares.sum() * tokens.sum()
 
 
+def _in_arrays(cells: DataFrame, total: int, targets: dict[str, dict[str, float]], powers: tuple[float, float, float], keep: float) -> DataFrame:
+    """cells (KEYS, tokens) with cell_weight and probability, by the driver."""
+    rows = cells.toArrow()
+    tokens = rows["tokens"].to_numpy().astype(float)
+    codes, aims = [], []
+    for d, k, power in zip(DIMENSIONS, KEYS, powers, strict=True):
+        coded = pa.concat_arrays(rows[k].chunks).dictionary_encode()
+        code, values = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes.append(code)
+        aims.append(targets_of(values, np.bincount(code, tokens, len(values)), targets.get(d), power))
+    rates = np.where(tokens > 0, rake(tokens, codes, aims) / np.maximum(tokens, 1e-9), 1.0)
+    out = rows.select(KEYS).append_column("cell_weight", pa.array(rates)).append_column("probability", pa.array(calibrate(tokens, rates, keep * total)))
+    return F.broadcast(cells.sparkSession.createDataFrame(out))
+
+
+def _as_table(cells: DataFrame, total: int, targets: dict[str, dict[str, float]], powers: tuple[float, float, float], keep: float, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+    """What _in_arrays gives, by jobs over the cells: a weight is the cell's tokens times a factor of each of its values.
+
+    Factors are tables (value, aim, factor); a round writes each anew from the others'."""
+    spark = cells.sparkSession
+    factors: dict[str, DataFrame] = {}
+    for d, k, power in zip(DIMENSIONS, KEYS, powers, strict=True):
+        asked = spark.createDataFrame([(v, float(x)) for v, x in targets.get(d, {}).items()], f"{k} string, given double")
+        values = cells.groupBy(k).agg(F.sum("tokens").alias("tokens")).join(F.broadcast(asked), k, "left")
+        values = materialize(values.withColumn("flat", F.when(F.col("given").isNull() & (F.col("tokens") > 0), F.pow(F.col("tokens").cast("double"), F.lit(power))).otherwise(0.0)), "values")
+        flat, given = (x or 0.0 for x in values.agg(F.sum("flat"), F.sum("given")).first())
+        left = max(0.0, 1 - given) if flat else 0.0
+        share = F.coalesce("given", F.col("flat") * F.lit(left / flat if flat else 0.0)) / F.lit(given + left)
+        factors[k] = values.select(k, (share * total).alias("aim"), F.lit(1.0).alias("factor"))
+    named = lambda k: factors[k].select(k, F.col("factor").alias(f"{k}_factor"))
+    for i in range(rounds):
+        worst = 0.0
+        for k in KEYS:
+            one, two = (x for x in KEYS if x != k)
+            rest = cells.join(named(one), one).join(named(two), two).groupBy(k).agg(F.sum(F.col("tokens") * F.col(f"{one}_factor") * F.col(f"{two}_factor")).alias("rest"))
+            some = (F.col("rest") > 0) & (F.col("factor") > 0)
+            changed = factors[k].join(rest, k).select(k, "aim", F.when(some, F.col("aim") / F.col("rest")).otherwise(F.col("factor")).alias("factor"), F.when(some, F.abs(F.col("aim") / F.col("rest") / F.col("factor") - 1)).alias("change"))
+            with owned(f"rake {k} {i}"):
+                factors[k] = materialize(changed, "factors")
+            release(spark, f"rake {k} {i - 1}")
+            worst = max(worst, factors[k].agg(F.max("change")).first()[0] or 0.0)
+            factors[k] = factors[k].drop("change")
+        if worst < close:
+            break
+    rated = cells
+    for k in KEYS:
+        rated = rated.join(named(k), k)
+    rate = F.when(F.col("tokens") > 0, F.col(f"{KEYS[0]}_factor") * F.col(f"{KEYS[1]}_factor") * F.col(f"{KEYS[2]}_factor")).otherwise(1.0)
+    rated = materialize(rated.select(*KEYS, "tokens", rate.alias("cell_weight")), "rates")
+    for k in KEYS:
+        release(spark, f"rake {k} {i}")
+    # the constant of calibrate(): it grows as cells reach 1, until no more do
+    budget, c, full = keep * total, 0.0, -1.0
+    while total > budget:
+        at_one = F.col("cell_weight") * F.lit(c) >= 1
+        now, rest = (x or 0.0 for x in rated.agg(F.sum(F.when(at_one, F.col("tokens"))), F.sum(F.when(~at_one, F.col("tokens") * F.col("cell_weight")))).first())
+        if now == full:
+            break
+        if not rest:
+            c = None
+            break
+        c, full = (budget - now) / rest, now
+    chance = F.lit(1.0) if total <= budget or c is None else F.least(F.lit(1.0), F.col("cell_weight") * F.lit(c))
+    return rated.select(*KEYS, "cell_weight", chance.alias("probability"))
+
+
 def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, powers: tuple[float, float, float] = (0.5, 0.7, 0.7), keep: float = 0.6, seed: int = 3) -> DataFrame:
     """docs (doc_id, text, lang, source, and any other columns, all kept) with topic, n_tokens, cell_weight, probability and sampled.
 
@@ -83,7 +155,7 @@ def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[st
     no tokens. If no text has tokens all rows are sampled. An empty table gives an empty one. Columns of docs with the
     result's names are replaced.
 
-    Only the sums of cells reach the driver: small strata are pooled so that there are 50,000 at most.
+    Only the sums of cells reach the driver, where there are 50,000 at most; else they stay a table.
     """
     names = ["topic", "n_tokens", "cell_weight", "probability", "sampled"]
     own = [c for c in docs.columns if c not in names]
@@ -93,32 +165,12 @@ def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[st
         "_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "_language": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
         "_tokens": F.regexp_count(texts, F.lit(r"\S+")).cast("long"),
     }).drop(*names)
-    keys = ["_source", "_language", "_topic"]
-    sums = named.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).persist()
-    total = sums.agg(F.sum("tokens")).first()[0] or 0
-    share = LEAST_SHARE
-    while True:
-        kept = [[r[0] for r in sums.groupBy(k).agg(F.sum("tokens").alias("t")).where(F.col("t") >= share * total).select(k).collect()] for k in keys]
-        pooled = [F.when(F.col(k).isin(v), F.col(k)).otherwise(OTHER).alias(k) if v else F.lit(OTHER).alias(k) for k, v in zip(keys, kept, strict=True)]
-        cells = sums.select(*pooled, "tokens").groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
-        rows = cells.limit(CELLS + 1).collect()
-        if len(rows) <= CELLS:
-            break
-        share *= 10
-    sums.unpersist()
-    tokens = np.array([r["tokens"] for r in rows], float)
+    cells = materialize(named.groupBy(*KEYS).agg(F.sum("_tokens").alias("tokens")), "cells")
+    count, total = cells.agg(F.count("*"), F.sum("tokens")).first()
     if total:
-        codes, aims = [], []
-        for d, k, power in zip(DIMENSIONS, keys, powers, strict=True):
-            values, code = np.unique([r[k] for r in rows], return_inverse=True)
-            codes.append(code)
-            aims.append(targets_of(values.tolist(), np.bincount(code, tokens, len(values)), (targets or {}).get(d), power))
-        rates = np.where(tokens > 0, rake(tokens, codes, aims) / np.maximum(tokens, 1e-9), 1.0)
-        chances = calibrate(tokens, rates, keep * total)
+        rated = (_in_arrays if count <= CELLS else _as_table)(cells, total, targets or {}, powers, keep)
     else:
-        rates = chances = np.ones(len(rows))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(*(r[k] for k in keys), float(a), float(p)) for r, a, p in zip(rows, rates, chances, strict=True)], "_source string, _language string, _topic string, cell_weight double, probability double")
-    matched = named.withColumns({f"{k}_": p for k, p in zip(keys, pooled, strict=True)}).join(F.broadcast(table.withColumnsRenamed({k: f"{k}_" for k in keys})), [f"{k}_" for k in keys])
+        rated = cells.select(*KEYS, F.lit(1.0).alias("cell_weight"), F.lit(1.0).alias("probability"))
+    matched = named.join(rated, KEYS)
     draw = (F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), texts) / 2.0**63 + 1) / 2
     return matched.select(*own, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "cell_weight", "probability", (draw < F.col("probability")).alias("sampled"))
