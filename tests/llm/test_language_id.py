@@ -52,3 +52,17 @@ def test_odd_rows(spark, odd, no_docs):
         assert r.n == 1 and r.word == "x"
     assert identify(no_docs, model).collect() == [] and fit(no_docs, F.lit(True)) is None
     assert {r.lang_pred for r in identify(odd, None).collect()} == {language_id.UNKNOWN}
+
+
+def test_every_letter_of_the_landmarks_counts():
+    """More than 250 letters: those with high code points are told apart still."""
+    han, hangul = "".join(map(chr, range(0x4E00, 0x4F00))), "".join(map(chr, range(0xAC00, 0xAD00)))
+    marks = ["the cat", han, hangul]
+    g = Grams([m.encode() for m in marks])
+    union = set().union(*map(grams, marks))
+    for t in (han[:9], hangul[3:20], "cat " + han[5:7], han[9] + hangul[9]):
+        assert int(g.presence([t.encode()])[0].sum()) == len(grams(t) & union)
+    rng = np.random.default_rng(0)
+    texts, langs = zip(*(("".join(rng.choice(list(s), 30)).encode(), k) for k, s in (("zh", han), ("ko", hangul)) * 40), strict=True)
+    model = Model(list(texts), list(langs), 40, 1.0)
+    assert [model.langs[i] for i in model.score(list(texts))[0].argmax(1)] == list(langs)

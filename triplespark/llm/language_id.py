@@ -40,25 +40,31 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """Numbers the 1-, 2- and 3-grams of the landmarks over an alphabet: 0 is anything but a letter, 1 a letter they lack."""
+    """Numbers the 1-, 2- and 3-grams of the landmarks over their letters: 0 is anything but a letter, 1 a letter they lack.
+
+    An n-gram's code follows from the shorter one's number, so codes stay small however many letters there are."""
 
     def __init__(self, landmarks: list[bytes]) -> None:
         letter, fold = letters()
         text = np.frombuffer(b" ".join(landmarks).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        seen = np.unique(fold[text[letter[text]]])
-        self.alphabet = seen[:250]
+        self.alphabet = np.unique(fold[text[letter[text]]])
         self.base = len(self.alphabet) + 2
-        self.tables: list[np.ndarray] = []
+        #: By n: the landmarks' n-grams as codes, sorted, and a number for each, or -1 for blanks alone, which say nothing.
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         self.count = 0
         self.classes = None
         codes = self._codes([b" ".join([t]) for t in landmarks])[0]
+        shorter = np.zeros(len(codes), np.int64)
         for n in (1, 2, 3):
-            have = np.unique(self._grams(codes, n))
-            have = have[have > 0]  # blanks alone say nothing
-            table = np.full(self.base**n, -1, np.int32)
-            table[have] = np.arange(self.count, self.count + len(have))
-            self.count += len(have)
-            self.tables.append(table)
+            code = self._longer(shorter, codes, n)
+            have, shorter = np.unique(code, return_inverse=True)
+            blank = np.ones(len(have), bool)
+            some = np.zeros(len(code), bool)
+            for i in range(n):
+                some |= codes[i : len(code) + i] > 0
+            blank[shorter[some]] = False
+            self.tables.append((have, np.where(blank, -1, self.count + np.cumsum(~blank) - 1)))
+            self.count += int((~blank).sum())
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"classes": None}
@@ -67,9 +73,9 @@ class Grams:
         """Classes of the characters of all texts, each text between blanks; the text of each; whether each text has a letter."""
         if self.classes is None:
             letter, fold = letters()
-            number = np.zeros(len(fold), np.uint8)
+            number = np.zeros(len(fold), np.int32)
             number[self.alphabet] = np.arange(2, self.base)
-            self.classes = np.where(letter, np.maximum(number[fold], 1), 0).astype(np.uint8)
+            self.classes = np.where(letter, np.maximum(number[fold], 1), 0).astype(np.int32)
         parts = [t.decode("utf-8", "replace").encode("utf-32-le") for t in texts]
         pad = b" \0\0\0" * 2
         codes = self.classes[np.frombuffer(pad + (pad + pad).join(parts) + pad, np.uint32)]
@@ -77,11 +83,11 @@ class Grams:
         row = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         return codes, row, np.bincount(row, codes > 0, len(parts)) > 0
 
-    def _grams(self, codes: np.ndarray, n: int) -> np.ndarray:
-        out = codes[: len(codes) - n + 1].astype(np.int32)
-        for i in range(1, n):
-            out = out * self.base + codes[i : len(codes) - n + 1 + i]
-        return out
+    def _longer(self, shorter: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+        """Codes of the n-grams, from places of the (n - 1)-grams among the landmarks' (-1: not there)."""
+        last = codes[n - 1 :]
+        first = shorter[: len(last)]
+        return np.where(first < 0, -1, first * self.base + last)
 
     def presence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A row of 0 and 1 for each text over the landmarks' n-grams; whether the text has a letter."""
@@ -89,8 +95,13 @@ class Grams:
         width = self.count + 1
         out = np.zeros((len(texts), width), np.float32)
         flat = out.reshape(-1)
-        for n, table in enumerate(self.tables, 1):
-            at = table[self._grams(codes, n)]
+        shorter = np.zeros(len(codes), np.int64)
+        for n, (have, number) in enumerate(self.tables, 1):
+            code = self._longer(shorter, codes, n)
+            at = np.minimum(np.searchsorted(have, code), len(have) - 1)
+            ok = have[at] == code
+            shorter = np.where(ok, at, -1)
+            at = np.where(ok, number[at], -1)
             flat[row[: len(at)].astype(np.int64) * width + at + (at < 0) * width] = 1
         return out[:, :-1], worded
 
