@@ -8,12 +8,15 @@ rare. A bounded number of cells is raked in the driver's arrays; more are raked
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, owned, release
+from .common import binaries, materialize, owned, release, tune
+from .language_id import letters
 
 NONE = "(none)"
 DIMENSIONS = ("source", "language", "topic")
@@ -22,19 +25,57 @@ KEYS = ["_source", "_language", "_topic"]
 CELLS = 50_000
 
 
-def form(text: Column) -> Column:
-    """The topic where no column names one: the text's form, as table, shouted, noisy or prose."""
-    size = F.length(text) + 1
-    return (
-        F.when(F.regexp_count(text, F.lit(r" \| ")) * 40 > size, "table")
-        .when(F.regexp_count(text, F.lit("[A-Z]")) * 2 > F.regexp_count(text, F.lit("[A-Za-z]")) + 1, "shouted")
-        .when(F.regexp_count(text, F.lit(r"[^\p{L}\s.,;:'\"!?()-]")) * 20 > size, "noisy")
-        .otherwise("prose")
-    )
+#: Bytes that the form of a text doesn't count as noise: letters, ASCII white space and common punctuation.
+_QUIET = np.isin(np.arange(256), [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz \t\n\x0b\x0c\r.,;:'\"!?()-"])
+_SPACE = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"])
+
+
+def _form(text: bytes, quiet: np.ndarray, upper: np.ndarray, letter: np.ndarray, wide: np.ndarray) -> str:
+    """The form of a text, from masks over its bytes: not noise, A-Z, A-Z or a-z, beyond ASCII."""
+    high = text if wide.all() else np.frombuffer(text, np.uint8)[wide].tobytes() if wide.any() else b""
+    points = np.frombuffer(high.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    size = len(text) - len(high) + len(points) + 1
+    if text.count(b" | ") * 40 > size:
+        return "table"
+    if np.count_nonzero(upper) * 2 > np.count_nonzero(letter) + 1:
+        return "shouted"
+    noise = len(text) - len(high) - np.count_nonzero(quiet) + (np.count_nonzero(~letters()[0][points]) if len(points) else 0)
+    return "noisy" if noise * 20 > size else "prose"
+
+
+def measure(column: pa.Array) -> pa.Array:
+    """Structs of topic and tokens of texts, whole: the form as table, shouted, noisy or prose, and the runs without ASCII
+    white space. Null texts have no form and no tokens."""
+    texts = binaries(column)
+    joined = b"".join(t or b"" for t in texts)
+    b = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(t or b"") for t in texts], dtype=np.int64)
+    starts = ends - [len(t or b"") for t in texts]
+    quiet, wide, folded = _QUIET[b], b >= 128, b | 32
+    letter = (folded >= 97) & (folded <= 122)
+    upper = letter & (b < 97)
+    word = ~_SPACE[b]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    at = starts[starts < ends]
+    first[at] = word[at]
+    topics, tokens = [], []
+    for t, i, j in zip(texts, starts.tolist(), ends.tolist(), strict=True):
+        topics.append(None if t is None else _form(t, quiet[i:j], upper[i:j], letter[i:j], wide[i:j]))
+        tokens.append(int(np.count_nonzero(first[i:j])))
+    return pa.StructArray.from_arrays([pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], ["topic", "tokens"])
+
+
+def _settled(worst: float, close: float, rounds: int) -> None:
+    """Says so where raking ends before it settles, as it does where targets contradict each other."""
+    if not worst < close:
+        warnings.warn(f"after {rounds} rounds of raking a marginal is still {worst:.2g} of itself away from its target", stacklevel=3)
 
 
 def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights scaled in turn to each dimension's targets (by code), until no factor is further than `close` from 1."""
+    """Weights scaled in turn to each dimension's targets (by code), until no factor is further than `close` from 1. Targets
+    that no weights meet, as cells without tokens allow, end in a warning after `rounds`."""
+    worst = 0.0
     out = weights.astype(float).copy()
     for _ in range(rounds):
         worst = 0.0
@@ -45,6 +86,7 @@ def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]
             worst = max(worst, float(np.abs(factor[now > 0] - 1).max(initial=0)))
         if worst < close:
             break
+    _settled(worst, close, rounds)
     return out
 
 
@@ -122,6 +164,7 @@ def _as_table(cells: DataFrame, total: int, targets: dict[str, dict[str, float]]
             factors[k] = factors[k].drop("change")
         if worst < close:
             break
+    _settled(worst, close, rounds)
     rated = cells
     for k in KEYS:
         rated = rated.join(named(k), k)
@@ -147,7 +190,7 @@ def _as_table(cells: DataFrame, total: int, targets: dict[str, dict[str, float]]
 def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, powers: tuple[float, float, float] = (0.5, 0.7, 0.7), keep: float = 0.6, seed: int = 3) -> DataFrame:
     """docs (doc_id, text, lang, source, and any other columns, all kept) with topic, n_tokens, cell_weight, probability and sampled.
 
-    n_tokens counts runs without white space. targets gives shares of tokens by dimension (source, language, topic) and
+    n_tokens counts runs without ASCII white space. The topic is that column, or else the text's form: table, shouted, noisy or prose. targets gives shares of tokens by dimension (source, language, topic) and
     value; other values share the rest by their tokens to the power of `powers`. cell_weight is a cell's raked over its
     actual tokens. probability is the cell's cell_weight times a constant, at most 1, such that `keep` of all tokens are
     expected; sampled holds for a row if a hash of seed, doc_id and text falls below it, so the choice depends on nothing
@@ -159,12 +202,13 @@ def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[st
     """
     names = ["topic", "n_tokens", "cell_weight", "probability", "sampled"]
     own = [c for c in docs.columns if c not in names]
-    texts = F.coalesce("text", F.lit(""))
-    named = docs.withColumns({
-        "_topic": F.coalesce(form(F.col("text")) if topic is None else topic.cast("string"), F.lit(NONE)),
+    tune(docs.sparkSession)
+    measured = F.arrow_udf(measure, "topic string, tokens long")(F.col("text"))
+    named = docs.withColumn("_measured", measured).withColumns({
+        "_topic": F.coalesce(F.col("_measured.topic") if topic is None else topic.cast("string"), F.lit(NONE)),
         "_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "_language": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-        "_tokens": F.regexp_count(texts, F.lit(r"\S+")).cast("long"),
-    }).drop(*names)
+        "_tokens": F.col("_measured.tokens"),
+    }).drop("_measured", *names)
     cells = materialize(named.groupBy(*KEYS).agg(F.sum("_tokens").alias("tokens")), "cells")
     count, total = cells.agg(F.count("*"), F.sum("tokens")).first()
     if total:
@@ -172,5 +216,5 @@ def mix_documents(docs: DataFrame, topic: Column | None = None, targets: dict[st
     else:
         rated = cells.select(*KEYS, F.lit(1.0).alias("cell_weight"), F.lit(1.0).alias("probability"))
     matched = named.join(rated, KEYS)
-    draw = (F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), texts) / 2.0**63 + 1) / 2
+    draw = (F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))) / 2.0**63 + 1) / 2
     return matched.select(*own, F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "cell_weight", "probability", (draw < F.col("probability")).alias("sampled"))
