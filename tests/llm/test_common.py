@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from triplespark.llm.common import chunks, hash_words
+from triplespark.llm.common import chunks, hash_words, pack, unpack
 
 
 @given(st.lists(st.binary(max_size=150).filter(lambda b: not set(b) & {9, 10, 11, 12, 13, 32} and b), max_size=12), st.sampled_from([b" ", b"\t\n", b"  \x0b\x0c\r"]))
@@ -17,3 +17,11 @@ def test_equal_words_have_equal_hashes(words, space):
 def test_chunks():
     assert list(chunks([b"ab", None, b"c", b"defg", b"h"], 3)) == [(0, [b"ab", b"", b"c"]), (3, [b"defg"]), (4, [b"h"])]
     assert list(chunks([], 3)) == []
+
+
+def test_pack():
+    for n in (0, 1, 1000):
+        r = np.random.default_rng(n)
+        columns = np.sort(r.integers(-(1 << 63), 1 << 63, n)), r.integers(0, 1 << 31, n).astype(np.int32), r.integers(0, 3, n).astype(np.uint8)
+        got = unpack(pack(*columns), "<i8", "<i4", "u1")
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(got, columns, strict=True))

@@ -2,43 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch: long texts stay within a few MB a batch.
-ROWS_PER_BATCH = 500
+from ..plans.tables import delete_at_end, shared_dir
+
+#: Rows and bytes of an Arrow batch, at most (one row apart): long texts stay within a few MB a batch.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 4 << 20
 
 _written: dict[tuple[str, str], list[str]] = {}
 _owner = [""]
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small; the default of 10,000 rows is too much for long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="triplespark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    """Keep Arrow batches small; the defaults of 10,000 rows and 64 MB are too much for long texts."""
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = re.fullmatch(r"(-?\d+)[bB]?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. The table goes with
+    release(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(spark, path)
     _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,12 +79,42 @@ def chunks(texts: Iterable[bytes | None], limit: int) -> Iterator[tuple[int, lis
         yield at, held
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(first: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns of numbers of one length as a compressed blob, byte by byte; the first, sorted or nearly so, as steps."""
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in (np.diff(first, prepend=first.dtype.type(0)), *columns)]
+    return len(first).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpack(data: bytes | pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    """What pack() packed, by the columns' types."""
+    data = memoryview(data)
+    n, types = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in kinds]
+    raw = np.frombuffer(pa.decompress(pa.py_buffer(data[8:]), n * sum(t.itemsize for t in types), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for t in types:
+        out.append(np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).reshape(-1))
+        at += n * t.itemsize
+    return [np.cumsum(out[0], dtype=types[0]), *out[1:]]
+
+
+def packed(batch: pa.RecordBatch, level: int = 1) -> bytes:
+    """A batch as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str, *columns: str) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """Rows as tuples of columns, by runs of an equal key, as they come; binary values are views of their batch."""
+
+    def rows() -> Iterator[tuple]:
         for b in batches:
-            yield from f(b)
+            values = [(x.as_buffer() for x in c) if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_pylist() for c in (b.column(n) for n in columns)]
+            yield from zip(b.column(key).to_pylist(), *values, strict=True)
 
-    return df.mapInArrow(run, schema)
+    for k, own in groupby(rows(), key=itemgetter(0)):
+        yield k, (r[1:] for r in own)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

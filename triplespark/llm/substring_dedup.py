@@ -1,11 +1,15 @@
 """Removal of repeated passages with automata of repeated phrases.
 
-1. From every window of `length` words the least-hashed phrase of PHRASE words is taken (the same phrase wherever the same
-   window stands), and phrases are counted over the corpus: only those that recur can mark a recurring passage.
-2. Documents are dealt to shards. Each shard compiles an Aho-Corasick automaton of the recurring phrases that its own
-   documents hold, so its size follows the shard's, and streams its documents through it to locate every occurrence.
-3. Windows around located phrases are counted over the corpus by a 96-bit hash, and those that recur return to the shards
-   that hold them, where the words that they cover are removed.
+1. Texts are dealt, as they are read, to shards of SHARD_BYTES, kept as compressed Arrow blocks. From every window of
+   `length` words the least-hashed phrase of PHRASE words is taken (the same phrase wherever the same window stands), and
+   the phrases of all shards meet by hash: only those that recur can mark a recurring passage.
+2. Each shard compiles an Aho-Corasick automaton of the recurring phrases that its own documents hold, so its size follows
+   the shard's, and streams its documents through it to locate every occurrence.
+3. Windows around located phrases meet by a 96-bit hash, once for each shard that holds them, and those that recur return
+   to their shards by 64 bits of it, where the words that they cover are removed.
+
+Phrases and windows travel in blobs, one for each shard and bucket of hashes, so a passage that fills the corpus is as many
+entries as there are shards, in one bucket of many.
 """
 
 from __future__ import annotations
@@ -18,13 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, hash_words, materialize, mix, tune
+from .common import binaries, chunks, grouped, hash_words, materialize, mix, pack, packed, tune, unpack
 
 #: Words of a phrase. A word stands for 20 bits of its hash, so six take two longs.
 PHRASE = 6
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 12 << 20
+#: Bytes of text, about, in a shard, and in one of its blocks.
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+#: Bytes of the corpus's text for each bucket of hashes.
+BUCKET_BYTES = 16 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+_LOW = (1 << 20) - 1
+#: What meets in buckets: both longs of a phrase, or the long and the int of a window's hash; n is 2 for twice or more.
+PHRASES, WINDOWS = ("<i8", "<i8", "u1"), ("<i8", "<i4", "u1")
+#: How hard blocks are compressed: each travels twice.
+LEVEL = 4
+ROW = "shard long, bucket int, data binary"
 
 
 def _chars(hashes: np.ndarray) -> np.ndarray:
@@ -80,47 +92,135 @@ def _text(codes: np.ndarray) -> str:
     return (digits + np.array([1, 33, 65, 97])).astype(np.uint8).tobytes().decode("latin-1")
 
 
-def _automaton(a: np.ndarray, b: np.ndarray):
+def _automaton(codes: np.ndarray):
+    """codes: a row of PHRASE for each phrase."""
     import ahocorasick
 
     found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    low = (1 << 20) - 1
-    text = _text(np.stack([a >> 40, a >> 20 & low, a & low, b >> 40, b >> 20 & low, b & low], 1))
+    text = _text(codes)
     for i in range(0, len(text), 4 * PHRASE):
         found.add_word(text[i : i + 4 * PHRASE])
     found.make_automaton()
     return found
 
 
-def _candidates(hashes: np.ndarray, automaton, length: int) -> np.ndarray:
-    """By start of a window: whether its least phrase recurs."""
-    _, _, h = _phrases(hashes)
-    starts = np.array([end for end, _ in automaton.iter(_text(_chars(hashes)))], np.int64) // 4 - PHRASE + 1
-    if not len(starts):
-        return np.zeros(len(hashes) - length + 1, bool)
-    return np.isin(_least(h, length - PHRASE + 1), h[starts])
+class Phrases:
+    """Some phrases, to be located in texts."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        codes = np.stack([a >> 40, a >> 20 & _LOW, a & _LOW, b >> 40, b >> 20 & _LOW, b & _LOW], 1)
+        #: By place in a phrase, the words that stand there: only where all six fit does the automaton look.
+        self.places = np.zeros((PHRASE, 1 << 20), bool)
+        for i in range(PHRASE):
+            self.places[i, codes[:, i]] = True
+        self.automaton = _automaton(codes)
+
+    def starts(self, codes: np.ndarray) -> np.ndarray:
+        n = len(codes) - PHRASE + 1
+        ok = self.places[0][codes[:n]]
+        for i in range(1, PHRASE):
+            ok &= self.places[i][codes[i : n + i]]
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return at
+        words = np.zeros(len(codes), bool)
+        for i in range(PHRASE):
+            words[at + i] = True
+        words = np.flatnonzero(words)
+        last = np.array([end for end, _ in self.automaton.iter(_text(codes[words]))], np.int64) // 4
+        first = words[last - PHRASE + 1]
+        return first[words[last] - first == PHRASE - 1]
+
+    def candidates(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """By start of a window: whether its least phrase is one of these."""
+        starts = self.starts(_chars(hashes))
+        if not len(starts):
+            return np.zeros(len(hashes) - length + 1, bool)
+        h = _phrases(hashes)[2]
+        return np.isin(_least(h, length - PHRASE + 1), h[starts])
+
+
+class Windows:
+    """Some windows by the long of their hash, to be found in the texts of the shard that asked for them."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.found = np.sort(found)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[found & _LOW] = True
+
+    def covered(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """By word: whether one of these windows covers it."""
+        x = _windows(hashes, length)[0]
+        near = np.flatnonzero(self.some[x & _LOW])
+        at = np.searchsorted(self.found, x[near])
+        hit = near[self.found[np.minimum(at, len(self.found) - 1)] == x[near]]
+        delta = np.zeros(len(hashes) + 1, np.int64)
+        delta[hit] += 1
+        delta[hit + length] -= 1
+        return np.cumsum(delta)[:-1] > 0
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _by_shard(shards: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    return [(int(s), np.flatnonzero(shards == s)) for s in np.unique(shards)]
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _counted(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], 0)))
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], np.diff(np.concatenate((first, [len(order)])))
+def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where sorted pairs begin anew."""
+    return np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> Entries:
+    """The distinct pairs of two columns, sorted, and 2 for those that occur twice or more, else 1."""
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = _firsts(a, b)
+    return a[first], b[first], np.minimum(np.diff(first, append=len(a)), 2).astype(np.uint8)
+
+
+def _rows(shards: list[int], buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(shards, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["shard", "bucket", "data"])
+
+
+def _dealt(shard: int, found: Entries, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The entries of a shard, a blob for each bucket, which has a range of keys."""
+    own = (keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(own, kind="stable")
+    some, first = np.unique(own[order], return_index=True)
+    columns = [np.split(x[order], first[1:]) for x in found]
+    return _rows([shard] * len(some), some.tolist(), [pack(*x) for x in zip(*columns, strict=True)])
+
+
+def _recurring(kinds: tuple[str, ...], keep: int):
+    """Rows of blobs, a bucket's together, to rows (shard, data) of the entries that occur twice or more in all, their first
+    `keep` columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "bucket", "shard", "data"):
+            shards, found = zip(*((shard, unpack(data, *kinds)) for shard, data in rows), strict=True)
+            a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((b, a))
+            first = _firsts(a[order], b[order])
+            many = np.add.reduceat(n[order].astype(np.int64), first) > 1
+            again = np.empty(len(a), bool)
+            again[order] = np.repeat(many, np.diff(first, append=len(a)))
+            at = 0
+            for shard, x in zip(shards, found, strict=True):
+                own = again[at : at + len(x[0])]
+                at += len(x[0])
+                if own.any():
+                    yield _rows([shard], [-1], [pack(*(c[own] for c in x[:keep]))])
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """Remove from each text of docs (doc_id, text) the words that lie in a recurring window.
 
-    Words are runs without ASCII white space, unchanged. A window is `length` (12 or more) consecutive words of one document; it recurs
+    Words are runs without ASCII white space, unchanged. A window is `length` (12 or more, else ValueError) consecutive words of one document; it recurs
     if the same words start anywhere else too, in the same document included. Windows are judged on the input: every
     copy of a passage goes. One row for each row of docs, repeated rows and equal or null doc_ids included: doc_id,
     n_words, n_removed, kept_sha256 (lowercase hex of the kept words joined by one space), kept_text (the text if nothing is removed, else
@@ -128,94 +228,91 @@ def dedup_substrings(docs: DataFrame, length: int = 50, carry: tuple[str, ...] =
     have no words, and texts shorter than a window lose none. Columns of docs
     named in `carry` come along in a struct `carried`; others are not read.
     """
+    if length < 2 * PHRASE:
+        raise ValueError(f"a window has {2 * PHRASE} words or more")
     spark = docs.sparkSession
     tune(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(48, -(-size // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
-    own = docs.select(shard, "doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("shard", "doc_id", "carried", "text")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, size // BUCKET_BYTES)
+    own = docs.select(F.monotonically_increasing_id(), "doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("rid", "doc_id", "carried", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[1:3])
 
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b, n = _counted(parts)
+        with np.errstate(over="ignore"):
+            return _dealt(shard, (a, b, n), mix(a.view(np.uint64) * _M + mix(b.view(np.uint64))), buckets)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, found = None, 0, []
         for b in batches:
-            parts = []
-            for s, t in zip(b.column("shard").to_pylist(), binaries(b.column("text")), strict=True):
-                words = hash_words(t)
-                if len(words) < length:
+            for at, some in chunks(binaries(b.column("text")), BLOCK_BYTES):
+                block = b.slice(at, len(some))
+                shard = block.column("rid")[0].as_py() if shard is None else shard
+                yield _rows([shard], [-1], [packed(block.drop_columns(["rid"]), LEVEL)])
+                for t in some:
+                    words = hash_words(t)
+                    if len(words) >= length:
+                        x, y, h = _phrases(words)
+                        near = np.isin(h, _least(h, length - PHRASE + 1))
+                        found.append((x[near], y[near]))
+                held += sum(map(len, some))
+                if held >= SHARD_BYTES:
+                    if found:
+                        yield phrases(shard, found)
+                    shard, held, found = None, 0, []
+        if found:
+            yield phrases(shard, found)
+
+    dealt = materialize(own.mapInArrow(deal, ROW), "shards")
+    blocks = dealt.where("bucket < 0").select("shard", F.lit(1).alias("bucket"), "data")
+
+    def again(blobs: DataFrame, kinds: tuple[str, ...], keep: int) -> DataFrame:
+        """The entries that recur, each shard's before its blocks."""
+        met = blobs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_recurring(kinds, keep), ROW)
+        return met.unionByName(blocks).repartition(width, "shard").sortWithinPartitions("shard", "bucket")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in grouped(batches, "shard", "bucket", "data"):
+            known, phrases, found = [], None, []
+            for kind, data in rows:
+                if kind < 0:
+                    known.append(unpack(data, *PHRASES[:2]))
                     continue
-                x, y, h = _phrases(words)
-                values, first, counts = np.unique(h, return_index=True, return_counts=True)
-                own = np.isin(values, _least(h, length - PHRASE + 1))
-                first = first[own]
-                parts.append((x[first], y[first], np.full(len(first), s, np.int32), counts[own]))
-            if parts:
-                yield pa.record_batch([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=["a", "b", "shard", "n"])
-
-    counted = docs.select(shard, "text").mapInArrow(phrases, "a long, b long, shard int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-    recurring = counted.where("n > 1").select(F.explode("shards").alias("shard"), "a", "b")
-
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = _automaton(right["a"].to_numpy(), right["b"].to_numpy()) if right.num_rows else None
-        counts, shas, own, marks = [], [], [], []
-        for t in binaries(left["text"]):
-            hashes = hash_words(t)
-            counts.append(len(hashes))
-            mark = _candidates(hashes, automaton, length) if automaton and len(hashes) >= length else None
-            some = mark is not None and mark.any()
-            shas.append(None if some else _sha(t.split() if t else []))
-            own.append(t if some or texts else None)
-            marks.append(np.packbits(mark).tobytes() if some else None)
-        return pa.table([left["shard"], left["doc_id"], left["carried"], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(own, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "carried", "n_words", "sha", "text", "marks"])
-
-    located = materialize(own.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(locate, f"shard int, {kinds}, n_words long, sha string, text binary, marks binary"), "located")
-    held = located.where("marks is not null")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, marks = b.column("text").to_pylist(), b.column("marks").to_pylist()
-            for s, rows in _by_shard(b.column("shard").to_numpy()):
-                parts = []
-                for i in rows.tolist():
-                    h = hash_words(own[i])
-                    mark = np.unpackbits(np.frombuffer(marks[i], np.uint8), count=len(h) - length + 1).view(bool)
-                    parts.append([k[mark] for k in _windows(h, length)])
-                (w, v), n = _counted([np.concatenate(p) for p in zip(*parts, strict=True)])
-                yield pa.record_batch([pa.array(w), pa.array(v), pa.array(np.full(len(w), s, np.int32)), pa.array(n.astype(np.int64))], names=["w", "v", "shard", "n"])
-
-    seen = held.select("shard", "text", "marks").mapInArrow(windows, "w long, v int, shard int, n long").groupBy("w", "v").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
-    again = seen.where("n > 1").select(F.explode("shards").alias("shard"), "w", "v")
-
-    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.empty(right.num_rows, [("w", np.int64), ("v", np.int32)])
-        keys["w"], keys["v"] = right["w"].to_numpy(), right["v"].to_numpy()
-        order = np.argsort(keys["w"], kind="stable")
-        w, v = keys["w"][order], keys["v"][order]
-        removed, shas, kept_texts, counts = [], [], [], []
-        for t in left["text"].to_pylist():
-            words = t.split()
-            x, y = _windows(hash_words(t), length)
-            hit = np.zeros(len(x), bool)
-            at = np.searchsorted(w, x)
-            while True:  # longs that meet are told apart by their ints
-                ok = at < len(w)
-                same = ok.copy()
-                same[ok] = w[at[ok]] == x[ok]
-                if not same.any():
+                if not known:
                     break
-                hit[same] |= v[at[same]] == y[same]
-                at = np.where(same, at + 1, len(w))
-            delta = np.zeros(len(words) + 1, np.int64)
-            np.add.at(delta, np.flatnonzero(hit), 1)
-            np.subtract.at(delta, np.flatnonzero(hit) + length, 1)
-            gone = np.cumsum(delta)[:-1] > 0
-            kept = [word for word, g in zip(words, gone.tolist()) if not g]
-            counts.append(len(words))
-            removed.append(int(gone.sum()))
-            shas.append(_sha(kept))
-            kept_texts.append(None if not texts else (b" ".join(kept) if removed[-1] else t).decode("utf-8", "replace"))
-        return pa.table([left["doc_id"], left["carried"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "carried", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    cut = held.select("shard", "doc_id", "carried", "text").groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(remove, f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    whole = located.where("marks is null").select("doc_id", "carried", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.decode("text", "UTF-8").alias("kept_text"))
-    out = whole.unionByName(cut)
+                phrases = phrases or Phrases(*(np.concatenate(x) for x in zip(*known, strict=True)))
+                for t in binaries(pa.ipc.open_stream(data).read_all()["text"]):
+                    hashes = hash_words(t)
+                    if len(hashes) >= length and (mark := phrases.candidates(hashes, length)).any():
+                        found.append(tuple(x[mark] for x in _windows(hashes, length)))
+            if found:
+                entries = _counted(found)
+                yield _dealt(shard, entries, entries[0], buckets)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "shard", "bucket", "data"):
+            known, windows = [], None
+            for kind, data in rows:
+                if kind < 0:
+                    known.append(unpack(data, WINDOWS[0])[0])
+                    continue
+                windows = windows or (Windows(np.concatenate(known)) if known else None)
+                block = pa.ipc.open_stream(data).read_next_batch()
+                counts, removed, shas, kept_texts = [], [], [], []
+                for t in binaries(block.column("text")):
+                    words = t.split() if t else []
+                    gone = windows.covered(hash_words(t), length) if windows and len(words) >= length else None
+                    cut = int(np.count_nonzero(gone)) if gone is not None else 0
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if cut else words
+                    counts.append(len(words))
+                    removed.append(cut)
+                    shas.append(_sha(kept))
+                    if texts:
+                        kept_texts.append(None if t is None else (b" ".join(kept) if cut else t).decode("utf-8", "replace"))
+                out = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string()) if texts else pa.nulls(len(counts), pa.string())]
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("carried"), *out], ["doc_id", "carried", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    windows = again(dealt.where("bucket >= 0"), PHRASES, 2).mapInArrow(locate, ROW)
+    out = again(windows, WINDOWS, 1).mapInArrow(remove, f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if carry else out.drop("carried")
