@@ -87,18 +87,6 @@ def base_of(rows, train):
     return out
 
 
-def test_tree_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "DEPTH", 2)
-    texts = [b"abab abc\n", b"abab bca\n", b"\n", b"cab abab\n"]
-    brute = Brute(texts, 0.05)
-    keys, counts = np.unique(ctw._grams(texts), return_counts=True)
-    rows = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist(), strict=True)), "gram long, n long")
-    tree = ctw.Tree(ctw.contexts(rows, int(counts.sum()), 0.05), block=3)
-    for t in (b"abab\n", b"zz\n", b"\n", b"cabc a\n"):
-        assert tree.score(t) == pytest.approx(brute.score(t), rel=1e-4)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
-
-
 def test_query(spark, documents):
     got = {r.doc_id: r for r in queries.op9_ctw(spark, SF).collect()}
     train = [zlib.crc32(str(d["doc_id"]).encode()) % 10 != 0 for d in documents]

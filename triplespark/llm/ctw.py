@@ -6,14 +6,16 @@ Trofimov, and mixes, half and half a priori, its own estimate with those of all
 after all training texts; a text's score is the log10 probability that the weighted mixture gives it.
 
 The tree has every context of up to DEPTH bytes that occurs in training, so it grows with the corpus. It is sharded by
-the two bytes before the predicted one: below them a shard weighs its contexts alone, and only the sums by the last byte,
-256 * 255 at most, meet on the driver. Documents are worked on in parts; a part sends each of its distinct contexts with
-the next byte to its shard once, and gets its probability back.
+the last DEALT bytes before the predicted one: a shard weighs contexts of so many bytes and more alone, and only the sums
+for shorter ones, 256 ** (DEALT - 1) * 255 at most, meet on the driver. Documents are dealt to parts; a part sends each of
+its distinct contexts with the next byte to its shard once, and gets its probability back, and each of its distinct words
+to a bucket once, and gets its count back.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,22 +23,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, chunks, materialize, tune
-from .words import count_words, frequent, match_words, rare_rows, split_lower
+from .common import binaries, chunks, grouped, hash_words, materialize, packed, tune
 
 #: Bytes of context.
 DEPTH = 6
-#: Shards of the tree: each holds all contexts that end in some of the 65,536 pairs of bytes.
-SHARDS = 1024
+#: Contexts are dealt to shards by their last bytes.
+DEALT = 3
 END = b"\n"
 #: Bytes of text worked on together.
 PIECE = 2 << 20
 #: Bytes of text, about, whose contexts are sent to the shards together.
-PART = 8 << 20
+PART = 32 << 20
+#: Bytes of the corpus's text for a shard of contexts, and for a bucket of words.
+SHARD_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+#: Parts that a task answers for one shard, at most, about.
+ASKING = 4096
 
 
 def line(text: bytes) -> bytes:
-    return b" ".join(split_lower(text)) + END
+    return b" ".join(text.lower().split()) + END
 
 
 def _history(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,198 +68,69 @@ def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
         yield text[max(0, a - DEPTH) : a + PIECE], min(a, DEPTH)
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted keys is the first of its kind."""
+    return np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    first = np.flatnonzero(_firsts(keys))
     return keys[first], np.add.reduceat(counts, first)
 
 
-def contexts(grams: DataFrame, total: int, share: float) -> pa.Table:
-    """(depth, context, bytes, counts) of every context with at least share of total: at most DEPTH / share + 1 rows."""
-    out = None
-    for d in range(DEPTH, -1, -1):
-        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        grams = grams.groupBy(own.alias("gram")).agg(F.sum("n").alias("n")) if d < DEPTH else grams
-        pair = F.struct(F.col("gram").bitwiseAND(F.lit(255)).cast("short").alias("byte"), "n")
-        kept = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(pair).alias("next")).where(F.col("total") >= share * total)
-        kept = kept.select(F.lit(d).alias("depth"), "context", F.col("next.byte").alias("bytes"), F.col("next.n").alias("counts"))
-        out = kept if out is None else out.unionByName(kept)
-    return out.toArrow()
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log gamma for x >= 0.5: Stirling's series beyond 8."""
-    shift = np.ones_like(x)
-    y = x
-    for _ in range(8):
-        shift = np.where(y < 8, shift * y, shift)
-        y = np.where(y < 8, y + 1, y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
-
-
-def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By context and inner node of the bit tree (255, root first): counts of 0 and of 1."""
-    zeros, ones = [], []
-    for b in range(8):
-        halves = counts.reshape(len(counts), 1 << b, 2, -1).sum(3)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
+#: By n up to 4,096: log gamma of n + 1/2, and of n + 1.
+_HALVES = np.array([math.lgamma(n + 0.5) for n in range(4097)])
+_WHOLES = np.array([math.lgamma(n + 1) for n in range(4097)])
 
 
-def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the KT estimator's probability of a zeros and b ones."""
-    out = np.zeros(a.shape)
-    some = (a + b) > 0
-    x, y = a[some].astype(float), b[some].astype(float)
-    out[some] = _lgamma(x + 0.5) + _lgamma(y + 0.5) - _lgamma(x + y + 1) - math.log(math.pi)
+def _lgamma(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    """log gamma of n + shift: of the table, and by Stirling's series beyond it."""
+    out = table[np.minimum(n, 4096)]
+    far = np.flatnonzero(n > 4096)
+    if len(far):
+        y = n[far] + shift
+        out[far] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y)
     return out
 
 
-def _bytes(one: np.ndarray) -> np.ndarray:
-    """Log10 probability of the 256 bytes, from each inner node's probability of a 1."""
-    out = np.zeros((len(one), 256))
-    at = 0
-    for b in range(8):
-        p = one[:, at : at + (1 << b)]
-        out = out + np.repeat(np.stack((np.log10(1 - p), np.log10(p)), 2).reshape(len(one), -1), 256 >> (b + 1), 1)
-        at += 1 << b
-    return out
-
-
-class Tree:
-    """A tree of some contexts held whole, for small corpora; score() below uses Shard.
-
-    states: log10 probabilities of each byte by context; child: by context and preceding byte, the longer context or -1."""
-
-    def __init__(self, rows: pa.Table, block: int = 1024) -> None:
-        depth = rows["depth"].to_numpy()
-        context = rows["context"].to_numpy()
-        order = np.lexsort((context, depth))
-        depth, context = depth[order], context[order]
-        count = len(order)
-        sizes = pa.compute.list_value_length(rows["bytes"]).to_numpy().astype(np.int64)
-        flat_bytes, flat_counts = pa.compute.list_flatten(rows["bytes"]).to_numpy().astype(np.int64), pa.compute.list_flatten(rows["counts"]).to_numpy()
-        starts = (np.cumsum(sizes) - sizes)[order]
-        sizes = sizes[order]
-
-        def counts_of(own: np.ndarray) -> np.ndarray:
-            """Counts of the 256 bytes in some contexts."""
-            n = sizes[own]
-            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out = np.zeros((len(own), 256), np.int64)
-            out[np.repeat(np.arange(len(own)), n), flat_bytes[at]] = flat_counts[at]
-            return out
-
-        first = np.searchsorted(depth, np.arange(DEPTH + 2))
-        parent = np.full(count, -1, np.int64)
-        inner = int(first[DEPTH])
-        child = np.full((max(1, inner), 256), -1, np.int32)
-        for d in range(1, DEPTH + 1):
-            own = np.arange(first[d], first[d + 1])
-            shorter = context[own] & ((1 << 8 * (d - 1)) - 1)
-            parent[own] = first[d - 1] + np.searchsorted(context[first[d - 1] : first[d]], shorter)
-            child[parent[own], context[own] >> 8 * (d - 1)] = own
-        # counts in the contexts that share a child
-        rest = np.zeros((count, 256), np.int32 if flat_counts.sum() < 1 << 31 else np.int64)
-        for a in range(0, count, block):
-            own = np.arange(a, min(a + block, count))
-            held = counts_of(own)
-            rest[own] += held.astype(rest.dtype)
-            np.subtract.at(rest, parent[own[own > 0]], held[own > 0].astype(rest.dtype))
-        # bottom up: the weighted probability of each context's data, node by node
-        below = np.zeros((count, 255), np.float64)
-        share = np.ones((count, 255), np.float32)
-        for a in [*range(count - 1, -1, -block)]:
-            rows_ = np.arange(max(0, a - block + 1), a + 1)
-            for d in range(DEPTH, -1, -1):
-                own = rows_[(rows_ >= first[d]) & (rows_ < first[d + 1])]
-                if not len(own):
-                    continue
-                alone = _kt(*_splits(counts_of(own)))
-                weighted = alone
-                if d < DEPTH:
-                    longer = below[own] + _kt(*_splits(rest[own].astype(np.int64)))
-                    weighted = np.logaddexp(alone, longer) - math.log(2)
-                    share[own] = np.exp(alone - math.log(2) - weighted)
-                if d:
-                    np.add.at(below, parent[own], weighted)
-        del below
-        # top down: what the contexts so far say, and the share left for longer ones
-        self.logs = np.empty((count, 256), np.float32)
-        above = free = np.zeros((0, 255), np.float32)
-        for d in range(DEPTH + 1):
-            low, high = int(first[d]), int(first[d + 1])
-            said, left = np.empty((high - low, 255), np.float32), np.empty((high - low, 255), np.float32)
-            for a in range(low, high, block):
-                own = np.arange(a, min(a + block, high))
-                zeros, ones = _splits(counts_of(own))
-                up = parent[own] - int(first[d - 1])
-                before, rest_of = (above[up], free[up]) if d else (0.0, 1.0)
-                said[own - low] = before + rest_of * share[own] * (ones + 0.5) / (zeros + ones + 1)
-                left[own - low] = rest_of * (1 - share[own])
-                zeros, ones = _splits(rest[own].astype(np.int64))
-                self.logs[own] = _bytes(said[own - low].astype(float) + left[own - low] * (ones + 0.5) / (zeros + ones + 1))
-            above, free = said, left
-        self.child = child
-
-    def score(self, text: bytes) -> float:
-        """Log10 probability of a line."""
-        return float(sum(self._logs([piece])[skip:].sum(dtype=np.float64) for piece, skip in _pieces(text)))
-
-    def _logs(self, lines: list[bytes]) -> np.ndarray:
-        """Log10 probability of each byte of the lines."""
-        x, at = _history(lines)
-        state = np.zeros(len(at), np.int32)
-        alive, position, own = None, at, state
-        child = self.child.reshape(-1)
-        for d in range(1, DEPTH + 1):
-            deeper = child[own * 256 + x[position - d]]
-            ok = deeper >= 0
-            alive = np.flatnonzero(ok) if alive is None else alive[ok]
-            own, position = deeper[ok], position[ok]
-            state[alive] = own
-            if d < DEPTH:
-                still = own < len(self.child)
-                if not still.all():
-                    alive, own, position = alive[still], own[still], position[still]
-        return self.logs.reshape(-1)[state.astype(np.int64) * 256 + x[at]]
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the KT estimator's probability of a zeros and b ones."""
+    return _lgamma(a, _HALVES, 0.5) + _lgamma(b, _HALVES, 0.5) - _lgamma(a + b, _WHOLES, 1.0) - math.log(math.pi)
 
 
 class Counts:
-    """Counts of 0 and 1 by context of one depth and inner node of the bit tree, for the nodes that occur alone.
+    """Counts of 0 and 1 by context of one length and inner node of the bit tree, for the nodes that occur.
 
-    grams: context << 8 | byte, sorted. By level b of the bit tree, keys[b] is context << 8 | node, sorted, where node has a
-    leading one and b bits."""
+    pairs: context << 8 | byte, sorted. By level b of the bit tree, first[b] is the first pair of each node and node[b] the
+    node of each pair."""
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
-        self.keys, self.chance, self.alone = [], [], []
-        context, byte = grams & ~255, grams & 255
+    def __init__(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        self.pairs, self.n = pairs, n
+        self.first, self.node, self.chance, self.alone = [], [], [], []
         for b in range(8):
-            key = context | 1 << b | byte >> (8 - b)
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            one = n * (byte >> (7 - b) & 1)
-            both, ones = (np.add.reduceat(x, first) if len(first) else x for x in (n, one))
-            self.keys.append(key[first])
+            new = _firsts(pairs >> (8 - b))
+            first = np.flatnonzero(new)
+            ones = np.add.reduceat(n * (pairs >> (7 - b) & 1), first)
+            both = np.add.reduceat(n, first)
+            self.first.append(first)
+            self.node.append(np.cumsum(new, dtype=np.int32) - 1)
             self.chance.append((ones + 0.5) / (both + 1))
             self.alone.append(_kt(both - ones, ones))
-        self.share = [np.ones(len(k)) for k in self.keys]
+        self.share = [np.ones(len(x)) for x in self.first]
         self.weighted = self.alone
 
     def weigh(self, below: list[np.ndarray]) -> None:
-        """below: by level and key, the log of the product of the longer contexts' weighted probabilities."""
+        """below: by level and node, the log of the product of the longer contexts' weighted probabilities."""
         self.weighted = [np.logaddexp(a, x) - math.log(2) for a, x in zip(self.alone, below, strict=True)]
         self.share = [np.exp(a - math.log(2) - w) for a, w in zip(self.alone, self.weighted, strict=True)]
 
-    def find(self, b: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where keys are; whether they are there."""
-        own = self.keys[b]
-        if not len(own):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        return at, own[at] == keys
+    def keys(self, b: int) -> np.ndarray:
+        """The nodes as context << 8 | a one and the first b bits."""
+        pairs = self.pairs[self.first[b]]
+        return pairs & ~255 | 1 << b | (pairs & 255) >> (8 - b)
 
 
 def _low(d: int) -> int:
@@ -262,94 +138,130 @@ def _low(d: int) -> int:
     return (1 << 8 * (d + 1)) - 1
 
 
-class Shard:
-    """The contexts of 2 to DEPTH bytes in some grams (sorted, with training counts above 0), weighed bottom up."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray) -> None:
-        self.depths: dict[int, Counts] = {}
-        longer = None
-        for d in range(DEPTH, 1, -1):
-            if d < DEPTH:
-                grams, n = _merged([(grams & _low(d), n)]) if len(grams) else (grams, n)
-            own = self.depths[d] = Counts(grams, n)
-            if longer:
-                own.weigh([np.bincount(np.searchsorted(own.keys[b], longer.keys[b] & _low(d)), longer.weighted[b], len(own.keys[b])) for b in range(8)])
-            longer = own
-        self.grams, self.n = grams, n
+class Contexts:
+    """The contexts of least to most bytes in some grams (distinct, sorted), weighed bottom up.
+
+    A gram's n is how often it occurs in training; those with 0 stand for contexts that are only asked for, and change
+    nothing: they give each bit 1/2, as do contexts that aren't there. below: by level, the sums of the weighted logs of
+    contexts longer than `most`, by node; none if there are no longer ones."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, least: int, most: int, below: list[np.ndarray] | None = None) -> None:
+        self.least = least
+        #: From the longest: the counts, and where the pairs of the length before are among theirs.
+        self.counts: list[Counts] = []
+        self.up: list[np.ndarray] = []
+        for d in range(most, least - 1, -1):
+            if d < most:
+                longer = grams & _low(d)
+                order = np.argsort(longer)
+                grams = longer[order]
+                new = _firsts(grams)
+                up = np.empty(len(longer), np.int32)
+                up[order] = np.cumsum(new, dtype=np.int32) - 1
+                first = np.flatnonzero(new)
+                grams, n = grams[first], np.add.reduceat(n[order], first)
+                self.up.append(up)
+            own = Counts(grams, n)
+            if d < most:
+                before = self.counts[-1]
+                own.weigh([np.bincount(own.node[b][up[before.first[b]]], before.weighted[b], len(own.first[b])) for b in range(8)])
+            elif below is not None:
+                own.weigh(below)
+            self.counts.append(own)
 
     def sums(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(key, n, weighted) for contexts of one byte: counts by gram, and sums of the weighted logs by node."""
-        if len(self.grams):
-            keys, n = _merged([(self.grams & _low(1), self.n)])
-            yield keys, n, np.zeros(len(keys))
-            for b, keys in enumerate(self.depths[2].keys):
-                keys, w = _merged([(keys & _low(1), self.depths[2].weighted[b])])
-                yield keys | 1 << 16, np.zeros(len(keys), np.int64), w
-
-    def logs(self, grams: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Log2 probability of each gram's byte after its context; unknown contexts give each bit 1/2."""
-        out = np.zeros(len(grams))
-        byte = grams & 255
+        """(key, n, weighted) for contexts of least - 1 bytes: counts by gram, and with a bit above sums of the weighted logs by node."""
+        own, mask = self.counts[-1], _low(self.least - 1)
+        keys, n = _merged([(own.pairs & mask, own.n)])
+        yield keys, n, np.zeros(len(keys))
+        for b in range(8):
+            keys, w = _merged([(own.keys(b) & mask, own.weighted[b])])
+            yield keys | mask + 1, np.zeros(len(keys), np.int64), w
+
+    def mixed(self, b: int, pairs: np.ndarray, said: np.ndarray | float, left: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """What contexts up to these say of a 1 at level b, and the share left for longer ones; pairs: of the longest contexts.
+
+        said, left: what shorter contexts than these say, by their node at this level of the shortest ones here."""
+        at = [pairs]
+        for up in self.up:
+            at.append(up[at[-1]])
+        for i, (own, p) in enumerate(zip(reversed(self.counts), reversed(at), strict=True)):
+            node = own.node[b][p]
+            if i == 0 and not isinstance(said, float):
+                said, left = said[node], left[node]
+            said = said + left * (own.share[b] * own.chance[b])[node]
+            left = left * (1 - own.share[b])[node]
+        return said, left
+
+    def logs(self, top: Top) -> np.ndarray:
+        """Log2 probability of each gram's byte after its context."""
+        every, byte = np.arange(len(self.counts[0].pairs)), self.counts[0].pairs & 255
+        out = np.zeros(len(every))
         for b in range(8):
-            node = 1 << b | byte >> (8 - b)
-            said, left = (x[grams & 0xFF00 | node] for x in top)
-            alive = np.flatnonzero(left > 0)
-            for d in range(2, DEPTH + 1):
-                own = self.depths[d]
-                at, ok = own.find(b, grams[alive] & _low(d) & ~255 | node[alive])
-                lost = alive[~ok]
-                said[lost] += left[lost] / 2
-                alive, at = alive[ok], at[ok]
-                said[alive] += left[alive] * own.share[b][at] * own.chance[b][at]
-                left[alive] *= 1 - own.share[b][at]
+            said, _ = self.mixed(b, every, *top.of(self.counts[-1].keys(b)))
             out += np.log2(np.where(byte >> (7 - b) & 1, said, 1 - said))
         return out
 
 
-def top_of(keys: np.ndarray, n: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By last byte << 8 | node: what contexts of no and one byte say of a 1, and the share left for longer ones; from Shard.sums."""
-    order = np.argsort(keys)
-    keys, n, weighted = keys[order], n[order], weighted[order]
-    grams, nodes = keys < 1 << 16, keys >= 1 << 16
-    below = np.zeros(1 << 16)
-    below[keys[nodes] - (1 << 16)] = weighted[nodes]
-    one = Counts(keys[grams], n[grams])
-    one.weigh([below[k] for k in one.keys])
-    none = Counts(*_merged([(keys[grams] & 255, n[grams])])) if grams.any() else Counts(keys[grams], n[grams])
-    none.weigh([np.bincount(np.searchsorted(none.keys[b], one.keys[b] & 255), one.weighted[b], len(none.keys[b])) for b in range(8)])
-    said, left = np.full((256, 256), 0.5), np.zeros((256, 256))
-    for b in range(8):
-        for k, share, p in zip(none.keys[b].tolist(), none.share[b], none.chance[b], strict=True):
-            said[:, k], left[:, k] = share * p + (1 - share) * 0.5, 1 - share
-    said, left = said.reshape(-1), left.reshape(-1)
-    free = np.zeros(1 << 16)
-    for b in range(8):
-        k = one.keys[b]
-        said[k] += left[k] * (one.share[b] * one.chance[b] - 0.5)
-        free[k] = left[k] * (1 - one.share[b])
-    return said, free
-
-
-def _shard(grams: np.ndarray) -> np.ndarray:
-    return (grams >> 8 & 0xFFFF) * 0x9E37 % (1 << 16) * SHARDS >> 16
-
-
-def _by_shard(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of grams by shard, then gram; the shards' bounds in it."""
-    shard = _shard(grams)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(SHARDS + 1))
-
-
-def _pack(grams: np.ndarray, n: np.ndarray) -> bytes:
-    planes = np.concatenate((np.diff(grams, prepend=0), n)).view(np.uint8).reshape(-1, 8).T
+class Top:
+    """What contexts of fewer than DEALT bytes say of a 1, and the share left for longer ones, by node; from Contexts.sums."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, weighted: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys, n, weighted = keys[order], n[order], weighted[order]
+        limit = 256**DEALT
+        grams = keys < limit
+        nodes, sums = keys[~grams] - limit, weighted[~grams]
+        own = Contexts(keys[grams], n[grams], 0, DEALT - 1)
+        longest = own.counts[0]
+        own = Contexts(keys[grams], n[grams], 0, DEALT - 1, [sums[np.searchsorted(nodes, longest.keys(b))] for b in range(8)])
+        said, left = zip(*(own.mixed(b, longest.first[b], 0.0, 1.0) for b in range(8)), strict=True)
+        keys = np.concatenate([longest.keys(b) for b in range(8)])
+        order = np.argsort(keys)
+        self.keys, self.said, self.left = keys[order].astype(np.int32), np.concatenate(said)[order], np.concatenate(left)[order]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, (keys & _low(DEALT - 1)).astype(np.int32))
+        return self.said[at], self.left[at]
+
+
+def _dealt(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of sorted grams by shard, then gram; the shards that have some, and where they begin."""
+    context = grams >> 8 & (1 << 8 * DEALT) - 1
+    shard = (context * 0x9E3779B1 & 0xFFFFFFFF) * shards >> 32
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    shard = shard[order]
+    first = np.flatnonzero(_firsts(shard))
+    return order, shard[first], first
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of eight-byte numbers, byte by byte, compressed."""
+    planes = np.concatenate(columns).view(np.uint8).reshape(-1, 8).T
     return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data, size * 16, "zstd", asbytes=True), np.uint8)
-    both = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
-    return np.cumsum(both[:size]), both[size:]
+def _unpack(data: pa.Buffer | bytes, size: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, size * 8 * columns, "zstd", asbytes=True), np.uint8)
+    return np.split(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1), columns)
+
+
+def _pack_grams(grams: np.ndarray, n: np.ndarray) -> bytes:
+    return _pack(np.diff(grams, prepend=0), n)
+
+
+def _unpack_grams(data: pa.Buffer | bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = _unpack(data, size, 2)
+    return np.cumsum(steps), n
+
+
+def _pack_logs(logs: np.ndarray) -> bytes:
+    return pa.compress(logs.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack_logs(data: pa.Buffer | bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, size * 4, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<f4").reshape(-1)
 
 
 def _gram_chunks(lines: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -363,116 +275,130 @@ def _gram_chunks(lines: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarr
                 yield at, grams, np.zeros(len(grams), np.int64)
 
 
-def cut_parts(docs: DataFrame, train: Column) -> DataFrame:
-    """A table of documents' lines (part, rid, doc_id, train, text), and of the grams in each part: (part, shard, size, data).
+#: What a part says: its lines (kind TEXT), its grams by shard and its words by bucket, each as a compressed blob.
+TEXT, GRAMS, WORDS = 2, 0, 1
+SAID = "part long, kind int, at int, size long, data binary"
+_SAID = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("at", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
 
-    data has a part's distinct grams in a shard and how often each occurs in training documents, 0 included."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def _say(part: int, kind: int, at: list[int], sizes: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([part] * len(at), [kind] * len(at), at, sizes, data), _SAID, strict=True)], schema=_SAID)
+
+
+def cut_parts(docs: DataFrame, train: Column, shards: int, buckets: int) -> DataFrame:
+    """A table of what each part says: blocks of its documents (doc_id, train, text, that being the line); its distinct
+    grams, and how often each occurs in training documents, 0 included; the same of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, size, held = None, 0, []
-        names = ["part", "rid", "doc_id", "train", "text", "shard", "size", "data"]
-        doc_id = None
+        words: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             grams, n = _merged(held)
             held.clear()
-            order, bounds = _by_shard(grams)
-            grams, n = grams[order], n[order]
-            some = np.flatnonzero(np.diff(bounds))
-            data = [_pack(grams[bounds[i] : bounds[i + 1]], n[bounds[i] : bounds[i + 1]]) for i in some]
-            k = len(some)
-            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, doc_id), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array(np.diff(bounds)[some], pa.int64()), pa.array(data, pa.binary())], names)
+            order, own, first = _dealt(grams, shards)
+            grams, n = np.split(grams[order], first[1:]), np.split(n[order], first[1:])
+            yield _say(part, GRAMS, own.tolist(), [len(x) for x in grams], [_pack_grams(*x) for x in zip(grams, n, strict=True)])
+            every = list(words[0] | words[1])
+            if every:
+                bucket = hash_words(b" ".join(every)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                own, first = np.unique(bucket[order], return_index=True)
+                for k, some in zip(own.tolist(), np.split(order, first[1:]), strict=True):
+                    some = [every[i] for i in some.tolist()]
+                    data = pa.compress(b" ".join(some), "zstd", asbytes=True), _pack(np.array([words[1][w] for w in some], np.int64))
+                    yield _say(part, WORDS, [int(k)], [len(some)], [packed(pa.record_batch({"words": [data[0]], "size": [sum(map(len, some)) + len(some) - 1], "n": [data[1]]}))])
+            for c in words:
+                c.clear()
 
         for b in batches:
-            doc_id = b.schema.field("doc_id").type
             for at, texts in chunks(binaries(b.column("text")), PIECE):
                 rows = b.slice(at, len(texts))
                 part = rows["rid"][0].as_py() if part is None else part
-                lines = [line(t) for t in texts]
-                k = len(lines)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), rows["rid"], rows["doc_id"], rows["train"], pa.array(lines, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-                for learnt in (True, False):
-                    own = [x for x, t in zip(lines, rows["train"].to_pylist(), strict=True) if t is learnt]
+                lines, learnt = [line(t) for t in texts], rows["train"].to_pylist()
+                block = pa.record_batch([rows["doc_id"], rows["train"], pa.array(lines, pa.binary())], names=["doc_id", "train", "text"])
+                yield _say(part, TEXT, [-1], [len(lines)], [packed(block)])
+                for which in (True, False):
+                    own = [x for x, t in zip(lines, learnt, strict=True) if t is which]
+                    for x in own:
+                        words[which].update(x.split())
                     for _, grams, _ in _gram_chunks(own):
                         keys, n = np.unique(grams, return_counts=True)
-                        held.append((keys, n * learnt))
-                if sum(len(k) for k, _ in held) > 6_000_000:
+                        held.append((keys, n * which))
+                if sum(len(k) for k, _ in held) > 4_000_000:
                     held[:] = [_merged(held)]
                 size += sum(map(len, lines))
                 if size >= PART:
-                    yield close()
+                    yield from close()
                     part, size = None, 0
         if held:
-            yield close()
+            yield from close()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), "text")
-    return materialize(rows.mapInArrow(run, f"part long, rid long, doc_id {kind}, train boolean, text binary, shard int, size long, data binary"), "parts")
-
+    return materialize(rows.mapInArrow(run, SAID), "parts")
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of equal key, which follow each other."""
-    held: list[dict] = []
-    for b in batches:
-        for r in b.to_pylist():
-            if held and held[0][key] != r[key]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
 
+def count_all(said: DataFrame, width: int) -> DataFrame:
+    """A table (part, at, size, data, distinct, total): the counts in all training texts of a part's words, in their order;
+    and once for each bucket its distinct words and their sum."""
 
-def _all_grams(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def words(blob: pa.RecordBatch) -> list[bytes]:
+            return pa.decompress(blob["words"][0].as_buffer(), blob["size"][0].as_py(), "zstd", asbytes=True).split(b" ")
+
+        for bucket, rows in grouped(batches, "at", "part", "size", "data"):
+            held, counts = [], Counter()
+            for part, size, data in rows:
+                blob = pa.ipc.open_stream(data).read_next_batch()
+                held.append((part, size, blob))
+                for w, n in zip(words(blob), _unpack(blob["n"][0].as_buffer(), size, 1)[0].tolist(), strict=True):
+                    if n:
+                        counts[w] += n
+            distinct, total = len(counts), sum(counts.values())
+            for part, size, blob in held:
+                own = words(blob)
+                found = _pack(np.fromiter(map(counts.__getitem__, own), np.int64, size))
+                out = packed(pa.record_batch({"words": blob["words"], "size": blob["size"], "n": [found]}))
+                yield pa.record_batch({"part": pa.array([part], pa.int64()), "at": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "data": pa.array([out], pa.binary()), "distinct": pa.array([distinct], pa.int64()), "total": pa.array([total], pa.int64())})
+                distinct = total = 0
+
+    own = said.where(F.col("kind") == WORDS).repartition(width, "at").sortWithinPartitions("at")
+    return materialize(own.mapInArrow(run, "part long, at int, size long, data binary, distinct long, total long"), "counts")
+
+
+def _all_grams(blobs: Iterator[tuple[int, pa.Buffer]]) -> tuple[np.ndarray, np.ndarray]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for r in rows:
-        held.append(_unpack(r["data"], r["size"]))
+    for size, data in blobs:
+        held.append(_unpack_grams(data, size))
         if len(held) > 1 and sum(len(k) for k, _ in held) > max(4_000_000, 2 * len(held[0][0])):
             held = [_merged(held)]
     return _merged(held)
 
 
-def tree_scores(parts: DataFrame) -> DataFrame:
-    """(row, score, size): a line's log10 probability and its bytes, by rid of cut_parts."""
-    spark = parts.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tree_of(said: DataFrame, salts: int, width: int) -> tuple[DataFrame, Top]:
+    """A table (at, size, data) of the grams of each shard, and the contexts above the shards."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "shard"):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, rows in grouped(batches, "slot", "size", "data"):
             grams, n = _all_grams(rows)
-            for k, c, w in Shard(grams[n > 0], n[n > 0]).sums():
-                yield pa.record_batch({"key": pa.array(k), "n": pa.array(c), "w": pa.array(w)})
+            yield pa.record_batch({"at": pa.array([slot // salts], pa.int64()), "size": pa.array([len(grams)], pa.int64()), "data": pa.array([_pack_grams(grams, n)], pa.binary())})
 
-    blobs = parts.where("shard is not null").select("part", "shard", "size", "data").repartition(width, "shard").sortWithinPartitions("shard")
-    sums = blobs.mapInArrow(weigh, "key long, n long, w double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
-    top = spark.sparkContext.broadcast(top_of(*(sums[c].to_numpy() for c in ("key", "n", "w"))))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "shard"):
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in grouped(batches, "at", "size", "data"):
             grams, n = _all_grams(rows)
-            logs = Shard(grams[n > 0], n[n > 0]).logs(grams, top.value).astype(np.float32)
-            for a in range(0, len(rows), 100):
-                some = rows[a : a + 100]
-                data = [logs[np.searchsorted(grams, _unpack(r["data"], r["size"])[0])].tobytes() for r in some]
-                yield pa.record_batch({"part": pa.array([r["part"] for r in some], pa.int64()), "shard": pa.array([r["shard"] for r in some], pa.int32()), "rid": pa.nulls(len(some), pa.int64()), "data": pa.array(data, pa.binary())})
+            yield pa.record_batch({"at": pa.array([shard], pa.int64()), "size": pa.array([len(grams)], pa.int64()), "data": pa.array([_pack_grams(grams, n)], pa.binary()), "key": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "w": pa.nulls(1, pa.float64())})
+            for k, c, w in Contexts(grams, n, DEALT, DEPTH).sums():
+                none = pa.nulls(len(k), pa.int64())
+                yield pa.record_batch({"at": none, "size": none, "data": pa.nulls(len(k), pa.binary()), "key": pa.array(k), "n": pa.array(c), "w": pa.array(w)})
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "part"):
-            lines = [r["data"] for r in rows if r["shard"] < 0]
-            found = [(at, own, *np.unique(grams, return_inverse=True)) for at, grams, own in _gram_chunks(lines)]
-            found = [(at, own, keys, back.astype(np.int32)) for at, own, keys, back in found]
-            grams = np.unique(np.concatenate([x[2] for x in found]))
-            logs = np.empty(len(grams), np.float32)
-            logs[_by_shard(grams)[0]] = np.frombuffer(b"".join(r["data"] for r in rows if r["shard"] >= 0), np.float32)
-            out = np.zeros(len(lines))
-            for at, own, keys, back in found:
-                sums = np.bincount(own, logs[np.searchsorted(grams, keys)][back])
-                out[at : at + len(sums)] += sums
-            yield pa.record_batch({"row": pa.array([r["rid"] for r in rows if r["shard"] < 0], pa.int64()), "score": pa.array(out * math.log10(2)), "size": pa.array([len(x) for x in lines], pa.int64())})
-
-    answers = blobs.mapInArrow(answer, "part long, shard int, rid long, data binary")
-    texts = parts.where("shard is null").select("part", F.lit(-1).alias("shard"), "rid", F.col("text").alias("data"))
-    return answers.unionByName(texts).repartition(width, "part").sortWithinPartitions("part", "shard").mapInArrow(finish, "row long, score double, size long")
+    blobs = said.where(F.col("kind") == GRAMS).select(F.col("at").cast("long").alias("at"), "part", "size", "data")
+    if salts > 1:  # a shard's blobs are merged in several tasks first
+        slot = (F.col("at") * salts + F.pmod(F.xxhash64("part"), F.lit(salts))).alias("slot")
+        blobs = blobs.select(slot, "size", "data").repartition(width, "slot").sortWithinPartitions("slot").mapInArrow(merge, "at long, size long, data binary")
+    weighed = blobs.select("at", "size", "data").repartition(width, "at").sortWithinPartitions("at").mapInArrow(weigh, "at long, size long, data binary, key long, n long, w double")
+    weighed = materialize(weighed, "tree")
+    sums = weighed.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    return weighed.where("key is null").select("at", "size", "data"), Top(*(sums[c].to_numpy() for c in ("key", "n", "w")))
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -484,42 +410,79 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     token's base is log10(0.1 / 0.1) = 0, and the tree is empty, with a probability of 1/2 for each bit.
     Other columns are not read.
 
-    Counts of words and of byte contexts cover all training texts, and every context counts. The tree stays in shards on
-    executors. Words' counts are joined: frequent ones by a bounded table, others by a shuffle.
+    Counts of words and of byte contexts cover all training texts, and every context counts. The tree and the counts stay
+    in shards on executors, as many as the corpus's size asks for; a shard that many parts ask is answered by several tasks.
     """
     spark = docs.sparkSession
     tune(spark)
-    parts = cut_parts(docs, train)
-    lines = parts.where("shard is null")
-    learnt = lines.where("train").select("text")
-    words = materialize(count_words(learnt, split_lower), "words")
-    tokens, distinct = words.agg(F.sum("n"), F.count("*")).first()
-    ends = learnt.count()
-    tokens, distinct = (tokens or 0) + ends, distinct + (ends > 0)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bytes_, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if(train)).first()
+    shards, buckets = (min(1 << 24, max(low, (bytes_ or 0) // of)) for low, of in ((128, SHARD_BYTES), (16, BUCKET_BYTES)))
+    said = cut_parts(docs, train, shards, buckets)
+    counted = count_all(said, width)
+    distinct, tokens = (x or 0 for x in counted.agg(F.sum("distinct"), F.sum("total")).first())
+    ends = ends or 0
+    tokens, distinct = tokens + ends, distinct + (ends > 0)
     floor = 0.1 * (distinct + 1) + tokens
-    table = frequent(words).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)))
-    scores = materialize(tree_scores(parts), "scores")
-
-    def of(text: bytes, frequencies: dict[bytes, int]) -> tuple[tuple, dict[bytes, int]]:
-        from .words import key_of
-
-        get, n, seen, base, rare = known.value.get, 1, int(ends > 0), math.log10((ends + 0.1) / floor), {}
-        for w, k in frequencies.items():
-            n += k
-            if c := get(key_of(w) if len(w) > 64 else w):
-                seen += k
-                base += k * math.log10((c + 0.1) / floor)
-            else:
-                w = key_of(w)
-                rare[w] = rare.get(w, 0) + k
-        return (n, seen, base), rare
-
-    named = lines.select(F.struct("rid", "doc_id").alias("doc_id"), "text")
-    matched = match_words(named, "n_tokens long, n_seen long, base double", of, split_lower)
-    joined = rare_rows(matched).join(words.withColumnRenamed("n", "c"), "word", "left")
-    part = joined.groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / floor)).alias("rare_base"))
-    return matched.drop("rare").join(part, "rid", "left").withColumn("row", F.col("doc_id.rid")).join(scores, "row").select(
-        F.col("doc_id.doc_id").alias("doc_id"), "n_tokens", (F.col("n_seen") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("size")).alias("bits_per_byte"),
-    )
+    parts = said.where(F.col("kind") == TEXT).agg(F.count_distinct("part")).first()[0]
+    salts = -(-max(1, parts) // ASKING)
+    tree, top = tree_of(said, salts, width)
+    sent = spark.sparkContext.broadcast(top)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "slot", "part", "at", "size", "data"):
+            grams = logs = None
+            for part, at, size, data in rows:
+                if grams is None:  # the shard's own grams stand first
+                    grams, n = _unpack_grams(data, size)
+                    logs = Contexts(grams, n, DEALT, DEPTH).logs(sent.value)
+                else:
+                    asked = _pack_logs(logs[np.searchsorted(grams, _unpack_grams(data, size)[0])])
+                    yield _say(part, GRAMS, [at], [size], [packed(pa.record_batch({"grams": [data.to_pybytes()], "logs": [asked]}))])
+
+    salted = tree.select(F.explode(F.sequence(F.col("at") * salts, F.col("at") * salts + salts - 1)).alias("slot"), F.lit(-1).cast("long").alias("part"), F.col("at").cast("int").alias("at"), "size", "data")
+    asking = said.where(F.col("kind") == GRAMS).select((F.col("at").cast("long") * salts + F.pmod(F.xxhash64("part"), F.lit(salts))).alias("slot"), "part", "at", "size", "data")
+    answers = salted.unionByName(asking).repartition(width, "slot").sortWithinPartitions("slot", "part").mapInArrow(answer, SAID)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "part", "kind", "size", "data"):
+            found, known = [], {}
+            grams = logs = None
+            for kind, size, data in rows:
+                block = pa.ipc.open_stream(data).read_next_batch()
+                if kind == GRAMS:
+                    found.append((_unpack_grams(block["grams"][0].as_buffer(), size)[0], _unpack_logs(block["logs"][0].as_buffer(), size)))
+                    continue
+                if kind == WORDS:
+                    words = pa.decompress(block["words"][0].as_buffer(), block["size"][0].as_py(), "zstd", asbytes=True).split(b" ")
+                    known.update(zip(words, _unpack(block["n"][0].as_buffer(), size, 1)[0].tolist(), strict=True))
+                    continue
+                if grams is None:
+                    grams, logs = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.argsort(grams)
+                    grams, logs, found = grams[order], logs[order], []
+                lines = block["text"].to_pylist()
+                said = np.zeros(len(lines))
+                for at, own, rows_ in _gram_chunks(lines):
+                    order = np.argsort(own)
+                    own = own[order]
+                    first = np.flatnonzero(_firsts(own))
+                    each = np.repeat(logs[np.searchsorted(grams, own[first])], np.diff(first, append=len(own)))
+                    sums = np.bincount(rows_[order], each)
+                    said[at : at + len(sums)] += sums
+                sizes, seen, base = [], [], []
+                end = math.log10((ends + 0.1) / floor)
+                for x in lines:
+                    c = np.fromiter(map(known.__getitem__, x.split()), np.int64)
+                    sizes.append(len(c) + 1)
+                    seen.append(int(np.count_nonzero(c)) + (ends > 0))
+                    base.append(float(np.log10((c + 0.1) / floor).sum()) + end)
+                said *= math.log10(2)
+                bits = -said / math.log10(2) / np.array([len(x) for x in lines])
+                yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array([tokens] * len(lines), pa.int64()), pa.array(base, pa.float64()), pa.array(said), pa.array(bits)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    texts = said.where(F.col("kind") == TEXT)
+    counts = counted.select("part", F.lit(WORDS).alias("kind"), "at", "size", "data")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = answers.unionByName(counts).unionByName(texts).repartition(width, "part").sortWithinPartitions("part", "kind")
+    return told.mapInArrow(finish, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
