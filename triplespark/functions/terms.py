@@ -119,9 +119,17 @@ def num(c: Column) -> Column:
     return F.when(c.startswith('"'), F.regexp_extract(c, _LITERAL, 1).try_cast("double"))
 
 
+_NUMBER = rf'^"([^"]*)"\^\^<{re.escape(XSD)}({"|".join(t.removeprefix(XSD) for t in NUMERIC)})>$'
+
+
+def numeral(c: Column) -> tuple[Column, Column]:
+    """The lexical form of a literal of a numeric type and that type's name; both empty for others."""
+    return F.regexp_extract(c, _NUMBER, 1), F.regexp_extract(c, _NUMBER, 2)
+
+
 def number(c: Column) -> Column:
     """The number of a literal of a numeric type; null for others."""
-    return F.when(F.regexp_extract(c, _LITERAL, 3).isin(*NUMERIC), num(c))
+    return numeral(c)[0].try_cast("double")
 
 
 def timestamp(c: Column) -> Column:
@@ -152,6 +160,35 @@ def of_column(c: Column, sql_type: str) -> Column:
     return plain(c.cast("string"))
 
 
+def binding_key(*columns: Column) -> Column:
+    """A hash of a solution's values: equal for equal solutions, whatever the names of its variables."""
+    return F.xxhash64(*columns)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two strings share from the start. Strings compare by their bytes, as Spark's do."""
+    least = F.least(F.length(a), F.length(b))
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
+    return F.when(least == 0, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, least))
+
+
+def crc(c: Column, bits: int = 32) -> Column:
+    """The checksum of a string's bytes: CRC-32, or CRC-16 or CRC-8 over one bit after another."""
+    if bits == 32:
+        return F.crc32(c.cast("binary"))
+    # The polynomials of CRC-16 (ARC, lowest bit first) and of CRC-8 (highest bit first)
+    poly = {16: 0xA001, 8: 0x07}[bits]
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (poly if x & 1 else 0) if bits == 16 else (x << 1 ^ (poly if x & 128 else 0)) & 255
+        table.append(x)
+    codes = F.transform(F.split(F.regexp_replace(F.hex(c.cast("binary")), "(..)", "$1,"), ","), lambda h: F.conv(F.when(h != "", h), 16, 10).cast("int"))
+    rest = (lambda held: F.shiftright(held, 8)) if bits == 16 else (lambda held: F.lit(0))
+    values = F.array(*map(F.lit, table))
+    return F.aggregate(F.filter(codes, lambda x: x.isNotNull()), F.lit(0), lambda held, byte: F.get(values, held.bitwiseXOR(byte).bitwiseAND(F.lit(255))).bitwiseXOR(rest(held))).cast("long")
+
+
 # N-Triples escapes
 
 _SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}

@@ -6,14 +6,15 @@ bound is known while compiling, so that only joins on others need the test for u
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..functions.expressions import FUNCTIONS, Value, arithmetic, constant, equal, less, rank
+from ..functions.expressions import FUNCTIONS, Value, arithmetic, constant, equal, less, mean, rank, single, total
 from ..functions.terms import Variable
 from ..operators.joins import bindings, join, match_bgp, unit
 from . import algebra as A
@@ -41,9 +42,43 @@ def _resolver(df: DataFrame) -> Resolve:
     return lambda c: F.col(c) if c in df.columns else None
 
 
+@dataclass(frozen=True)
+class _Flag:
+    """A boolean column that stands for an EXISTS inside an expression."""
+
+    column: str
+
+
+class NamedGraphs(Graph):
+    """All named graphs at once: every scan has their name in a column."""
+
+    def __init__(self, df: DataFrame, column: str) -> None:
+        super().__init__(df.where(F.col("g").isNotNull()))
+        self.column = column
+
+    def scan(self, t: TriplePattern) -> DataFrame:
+        own = Graph(self.df.select(F.struct("g", "s").alias("s"), "p", "o"))
+        found = own.scan(TriplePattern(Variable(".gs"), t.p, t.o))
+        key = F.col(var(".gs"))
+        found = found.withColumns({self.column: key["g"], "s": key["s"]}).drop(var(".gs"))
+        if not isinstance(t.s, Variable):
+            return found.where(F.col("s") == t.s).drop("s")
+        if not t.s.name:
+            return found.drop("s")
+        at = var(t.s.name)
+        return found.where(F.col(at) == F.col("s")).drop("s") if at in found.columns else found.withColumnRenamed("s", at)
+
+    def paired(self) -> Graph:
+        """A graph whose nodes hold the name of their graph before them, for paths, which never leave one."""
+        mark = lambda c: F.concat("g", F.lit("\0"), c)
+        return Graph(self.df.select(mark("s").alias("s"), "p", mark("o").alias("o")))
+
+
 class Compiler:
     def __init__(self, graph: Graph, stats: Statistics | None = None) -> None:
-        self.graph, self.stats = graph, stats
+        self.graph, self.stats = graph, graph.statistics() if stats is None else stats
+        #: Columns that join but count as no shared variable: the name of the graph, inside GRAPH.
+        self.beside: set[str] = {graph.column} if isinstance(graph, NamedGraphs) else set()
 
     # patterns
 
@@ -64,19 +99,13 @@ class Compiler:
     def _join(self, node: A.Join) -> Solutions:
         return self.join(self.solve(node.left), self.solve(node.right))
 
-    @staticmethod
-    def _meet(a: Solutions, b: Solutions, how: str, extra: Callable[[Resolve], Column | None] = lambda r: None) -> tuple[DataFrame, list[str]]:
-        """Join on compatibility: shared variables are equal or unbound on one side. b's shared columns come out with a final r."""
+    def _meet(self, a: Solutions, b: Solutions, how: str, extra: Callable[[Resolve], Column | None] = lambda r: None) -> tuple[DataFrame, list[str]]:
+        """Join on compatibility: shared variables are equal or unbound on one side. b's shared columns come out with a final r.
+
+        Both sides fall into parts by the shared variables that are unbound there, so that each pair of parts meets on
+        equal columns; only solutions without a shared bound variable make a product, as SPARQL asks."""
         shared = [c for c in a.df.columns if c in b.df.columns]
         right = b.df.withColumnsRenamed({c: c + "r" for c in shared})
-        on = None
-        for c in shared:
-            same = F.col(c) == F.col(c + "r")
-            if c not in a.certain:
-                same = same | F.col(c).isNull()
-            if c not in b.certain:
-                same = same | F.col(c + "r").isNull()
-            on = same if on is None else on & same
 
         def resolve(c: str) -> Column | None:
             if c in shared and (c not in a.certain):
@@ -84,9 +113,39 @@ class Compiler:
             return F.col(c) if c in a.df.columns or c in b.df.columns else None
 
         more = extra(resolve)
-        if more is not None:
-            on = more if on is None else on & more
-        return a.df.join(right, F.lit(True) if on is None else on, how), shared
+
+        def parts(df: DataFrame, open_: list[str], suffix: str) -> list[tuple[frozenset[str], DataFrame]]:
+            out = []
+            for bits in product((False, True), repeat=len(open_)):
+                part = df
+                for c, unbound in zip(open_, bits, strict=True):
+                    part = part.where(F.col(c + suffix).isNull() if unbound else F.col(c + suffix).isNotNull())
+                out.append((frozenset(c for c, unbound in zip(open_, bits, strict=True) if unbound), part))
+            return out
+
+        lefts = parts(a.df, [c for c in shared if c not in a.certain], "")
+        rights = parts(right, [c for c in shared if c not in b.certain], "r")
+
+        def on(*unbound: frozenset[str]) -> Column:
+            tests = [F.col(c) == F.col(c + "r") for c in shared if not any(c in u for u in unbound)] + ([more] if more is not None else [])
+            return reduce(lambda x, y: x & y, tests) if tests else F.lit(True)
+
+        out = []
+        for u, left in lefts:
+            if how == "left_outer" and len(rights) == 1:
+                out.append(left.join(rights[0][1], on(u, rights[0][0]), how))
+                continue
+            rest = left
+            for i, (w, part) in enumerate(rights):
+                if how in ("inner", "left_outer"):
+                    out.append(left.join(part, on(u, w), "inner"))
+                elif how == "left_semi":
+                    out.append(rest.join(part, on(u, w), "left_semi"))
+                if how != "inner" and (how != "left_semi" or i < len(rights) - 1):
+                    rest = rest.join(part, on(u, w), "left_anti")
+            if how in ("left_outer", "left_anti"):
+                out.append(rest)
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out), shared
 
     def join(self, a: Solutions, b: Solutions) -> Solutions:
         shared = {c for c in a.df.columns if c in b.df.columns}
@@ -110,11 +169,11 @@ class Compiler:
     def _minus(self, node: A.Minus) -> Solutions:
         a, b = self.solve(node.left), self.solve(node.right)
         shared = [c for c in a.df.columns if c in b.df.columns]
-        if not shared:
+        if not set(shared) - self.beside:
             return a
         met = None
-        if not set(shared) <= a.certain & b.certain:  # one must be bound on both sides
-            met = lambda r: reduce(lambda x, y: x | y, (F.col(c).isNotNull() & F.col(c + "r").isNotNull() for c in shared))
+        if not set(shared) - self.beside <= a.certain & b.certain:  # one must be bound on both sides
+            met = lambda r: reduce(lambda x, y: x | y, (F.col(c).isNotNull() & F.col(c + "r").isNotNull() for c in shared if c not in self.beside))
         df, _ = self._meet(a, Solutions(b.df.select(*shared), b.certain), "left_anti", met or (lambda r: None))
         return Solutions(df, a.certain)
 
@@ -139,11 +198,27 @@ class Compiler:
             where = lambda r: reduce(lambda x, y: x & y, (self.value(c, r).true for c in outer)) if outer else None
             df, _ = self._meet(a, b, "left_anti" if e.negated else "left_semi", where)
             return Solutions(df, a.certain)
-        return Solutions(a.df.where(self.value(e, _resolver(a.df)).true), a.certain)
+        flagged, e = self.flagged(a, e)
+        return Solutions(flagged.df.where(self.value(e, _resolver(flagged.df)).true).select(*a.df.columns), a.certain)
+
+    def flagged(self, a: Solutions, e: object) -> tuple[Solutions, object]:
+        """The expression without its EXISTS: each is a column of the solutions that says whether it holds."""
+        if isinstance(e, A.Exists):
+            column = f"exists{sum(c.startswith('exists') for c in a.df.columns)}"
+            parts = [self.restrict(a, A.Exists(e.inner, no)).df.withColumn(column, F.lit(no == e.negated)) for no in (False, True)]
+            return Solutions(parts[0].unionByName(parts[1]), a.certain), _Flag(column)
+        if isinstance(e, A.Call) and e.name not in A.AGGREGATES:
+            args = []
+            for x in e.args:
+                a, x = self.flagged(a, x)
+                args.append(x)
+            return a, replace(e, args=tuple(args))
+        return a, e
 
     def _extend(self, node: A.Extend) -> Solutions:
         a = self.solve(node.inner)
-        return Solutions(a.df.withColumn(var(node.name), self.value(node.expression, _resolver(a.df)).term), a.certain)
+        flagged, e = self.flagged(a, node.expression)
+        return Solutions(flagged.df.select(*a.df.columns, self.value(e, _resolver(flagged.df)).term.alias(var(node.name))), a.certain)
 
     def _values(self, node: A.Values) -> Solutions:
         schema = ", ".join(f"{var(n)} string" for n in node.names)
@@ -155,22 +230,13 @@ class Compiler:
         if "g" not in df.columns:
             raise Unsupported("the graph has no named graphs")
         if not isinstance(node.name, Variable):
-            return Compiler(Graph(df.where(F.col("g") == node.name)), self.stats).solve(node.inner)
-        if not isinstance(node.inner, A.BGP) or any(isinstance(t, A.PathPattern) for t in node.inner.patterns):
-            raise Unsupported("GRAPH ?g takes a basic graph pattern")
-        out, g = None, var(node.name.name)
-        for t in node.inner.patterns:
-            own = Graph(df.where(F.col("g").isNotNull()).select(F.concat("g", F.lit("\0"), "s").alias("s"), "p", F.col("o"))).scan(TriplePattern(Variable(".gs"), t.p, t.o))
-            key = F.split(F.col(var(".gs")), "\0")
-            own = own.withColumns({g: key[0], "s": key[1]}).drop(var(".gs"))
-            if not isinstance(t.s, Variable):
-                own = own.where(F.col("s") == t.s).drop("s")
-            elif var(t.s.name) in own.columns:
-                own = own.where(F.col(var(t.s.name)) == F.col("s")).drop("s")
-            else:
-                own = own.withColumnRenamed("s", var(t.s.name))
-            out = own if out is None else join(out, own)
-        return Solutions(out, frozenset(out.columns))
+            return Compiler(Graph(df.where(F.col("g") == node.name))).solve(node.inner)
+        g = var(node.name.name)
+        inner = Compiler(NamedGraphs(df, g)).solve(node.inner)
+        if g not in inner.df.columns:
+            names = df.select(F.col("g").alias(g)).where("g is not null").distinct()
+            inner = Solutions(inner.df.crossJoin(names), inner.certain)
+        return Solutions(inner.df, inner.certain | {g})
 
     def _query(self, node: A.Query) -> Solutions:
         return self.select(node)
@@ -178,6 +244,11 @@ class Compiler:
     # property paths
 
     def _path_pattern(self, t: A.PathPattern) -> DataFrame:
+        if isinstance(self.graph, NamedGraphs):
+            ends = A.PathPattern(Variable(".ps"), t.path, Variable(".po"))
+            df = Compiler(self.graph.paired(), Statistics())._path_pattern(ends)
+            s, o = (F.split(F.col(var(x)), "\0", 2) for x in (".ps", ".po"))
+            return Graph(df.select(s[1].alias("s"), s[0].alias("p"), o[1].alias("o"))).scan(TriplePattern(t.s, Variable(name_of(self.graph.column)), t.o))
         start = t.s if not isinstance(t.s, Variable) else None
         end = t.o if not isinstance(t.o, Variable) else None
         df = self.path(t.path, start, end)
@@ -250,8 +321,10 @@ class Compiler:
             return Value("term", F.lit(None).cast("string") if c is None else c)
         if isinstance(e, str):
             return constant(e)
+        if isinstance(e, _Flag):
+            return Value("bool", F.col(e.column))
         if isinstance(e, A.Exists):
-            raise Unsupported("EXISTS inside an expression")
+            raise Unsupported("EXISTS inside an aggregate or a sort key")
         if e.name in A.AGGREGATES:
             if not grouped:
                 raise Unsupported(f"{e.name} outside a group")
@@ -265,7 +338,7 @@ class Compiler:
         if e.name == "!":
             return Value("bool", ~a[0].true)
         if e.name == "NEG":
-            return Value("int" if a[0].kind == "int" else "num", -a[0].num)
+            return arithmetic("-", Value("int", F.lit(0).cast("bigint")), a[0])
         if e.name in ("=", "!="):
             return Value("bool", equal(*a) if e.name == "=" else ~equal(*a))
         if e.name in ("<", ">", "<=", ">="):
@@ -286,11 +359,9 @@ class Compiler:
         v = self.value(e.args[0], resolve)
         if e.name == "COUNT":
             return Value("int", F.count_distinct(v.term) if distinct else F.count(v.column))
-        if e.name == "SUM":
-            total = F.sum_distinct(v.num) if distinct else F.sum(v.num)
-            return Value("int" if v.kind == "int" else "num", F.coalesce(total, F.lit(0)))
-        if e.name == "AVG":
-            return Value("num", F.try_divide(F.sum_distinct(v.num), F.count_distinct(v.num)) if distinct else F.avg(v.num))
+        if e.name in ("SUM", "AVG"):
+            return (total if e.name == "SUM" else mean)(v, distinct)
+        v = single(v)
         if e.name in ("MIN", "MAX"):
             if v.kind != "term":
                 return Value(v.kind, F.min(v.column) if e.name == "MIN" else F.max(v.column))
@@ -332,21 +403,22 @@ class Compiler:
                 df = df.where(f"having{i}")
             a = Solutions(df, a.certain & frozenset(keys))
             expressions = {n: e for n, e in expressions.items() if n not in made}
-        df = a.df
         for n, e in expressions.items():
-            df = df.withColumn(var(n), self.value(e, _resolver(df)).term)
+            a, e = self.flagged(a, e)
+            a = Solutions(a.df.withColumn(var(n), self.value(e, _resolver(a.df)).term), a.certain)
+        df = a.df
         missing = [var(n) for n in names if var(n) not in df.columns]
         df = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
         columns = [var(n) for n in names]
         if q.distinct and order:
-            extra = [c for c in (var(v) for e, _ in order for v in A.variables_of(e) if isinstance(e, Variable)) if c not in columns]
-            if extra:
-                raise Unsupported("ORDER BY a variable that SELECT DISTINCT drops")
-        if q.distinct:
-            df = df.select(*columns).distinct()
-        keys = []
-        for e, down in order:
-            keys += [k.desc() if down else k.asc() for k in rank(self.value(e, _resolver(df)))]
+            ranks = [(k, down) for e, down in order for k in rank(self.value(e, _resolver(df)))]
+            df = df.select(*columns, *(k.alias(f"key{i}") for i, (k, _) in enumerate(ranks)))
+            # of equal rows the first in order counts
+            df = df.groupBy(*columns).agg(*((F.max if down else F.min)(f"key{i}").alias(f"key{i}") for i, (_, down) in enumerate(ranks)))
+            keys = [F.col(f"key{i}").desc() if down else F.col(f"key{i}").asc() for i, (_, down) in enumerate(ranks)]
+        else:
+            df = df.select(*columns).distinct() if q.distinct else df
+            keys = [k.desc() if down else k.asc() for e, down in order for k in rank(self.value(e, _resolver(df)))]
         if keys:
             df = df.orderBy(*keys)
         if q.offset:
