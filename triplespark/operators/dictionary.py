@@ -8,20 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
-from ..plans.tables import settle
+from ..plans.tables import numbered, settle
 
 
 def number(terms: DataFrame, first: int = 1) -> DataFrame:
-    """(term, id) in order, from `first`: sorted by range into partitions, whose sizes shift the numbers within each."""
-    spark = terms.sparkSession
-    held = settle(terms.select("term").repartitionByRange("term").sortWithinPartitions("term").select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    rows = held.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low")).orderBy("part").collect()  # one for each partition
-    shifts, total = [], first
-    for r in rows:
-        shifts.append((r["part"], total - r["low"]))
-        total += r["n"]
-    table = spark.createDataFrame(shifts, "part int, shift bigint")
-    return held.join(F.broadcast(table), "part").select("term", (F.col("at") + F.col("shift")).alias("id"))
+    """(term, id) in order, from `first`."""
+    return numbered(terms.select("term"), "term", name="id", first=first)[0]
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,7 @@ def bindings(graph: Graph, names: list[str], rows: list[tuple[str | None, ...]])
 
 def star_by_joins(graph: Graph, star: StarPattern, stats: Statistics | None = None) -> DataFrame:
     """Each pattern's scan joined on the subject and any other shared variable, most selective first."""
-    return reduce(join, (graph.scan(t) for t in order(list(star.patterns), stats)))
+    return reduce(join, (graph.scan(t) for t in order(list(star.patterns), stats or graph.statistics())))
 
 
 def star_by_groups(graph: Graph, star: StarPattern) -> DataFrame:
@@ -71,6 +71,7 @@ def match_star(graph: Graph, star: StarPattern, stats: Statistics | None = None)
 
 def match_bgp(graph: Graph, patterns: list[TriplePattern], stats: Statistics | None = None) -> DataFrame:
     """All solutions of a basic graph pattern: stars, joined in the planner's order."""
+    stats = stats or graph.statistics()
     return reduce(join, (match_star(graph, s, stats) for s in order_stars(stars(patterns), stats))) if patterns else unit(graph)
 
 
@@ -99,6 +100,7 @@ def evaluate(graph: Graph, patterns: list[TriplePattern], method: str = "spf", s
     tpf: a scan for each pattern, in order, each joined to what is bound so far. brtpf: the same, each scan first reduced
     to the triples that the bindings so far can meet. spf: a star at a time. endpoint: the whole pattern at once.
     """
+    stats = stats or graph.statistics()
     if method == "endpoint":
         return match_bgp(graph, patterns, stats)
     if method == "spf":

@@ -12,6 +12,7 @@ from ..functions.terms import Variable
 from ..plans.graph import Graph
 from ..plans.patterns import StarPattern, TriplePattern
 from ..plans.planner import Statistics
+from ..plans.tables import numbered
 
 
 class Estimation(Enum):
@@ -104,10 +105,8 @@ def families(sets: DataFrame) -> DataFrame:
     """Characteristic sets with a stable index, largest first: the catalog that a star's lookup reads."""
     total = F.aggregate(F.map_values("of"), F.lit(0).cast("bigint"), lambda a, x: a + x["triples"])
     rows = sets.select("predicates", "subjects", total.alias("triples"))
-    # one row for each set: few against the triples they sum up
-    from pyspark.sql import Window
-
-    return rows.select((F.row_number().over(Window.orderBy(F.desc("subjects"), "predicates")) - 1).alias("index"), "predicates", "subjects", "triples")
+    ranked = rows.select((-F.col("subjects")).alias("rank"), "*")
+    return numbered(ranked, "rank", "predicates", name="index")[0].select(F.col("index").cast("int").alias("index"), "predicates", "subjects", "triples")
 
 
 def family_of(families_: DataFrame, star: StarPattern) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import terms as T
 from ..functions.terms import Variable
 from ..sources.mapping import Tables
 from .patterns import StarPattern, TriplePattern
+from .planner import Statistics
 
 ORDERS = ("spo", "sop", "pso", "pos", "osp", "ops")
 SCHEMA = "s string, p string, o string"
@@ -26,13 +27,17 @@ def name_of(column: str) -> str:
 class Graph:
     """df has columns s, p, o, without repeated rows, and optionally g."""
 
-    def __init__(self, df: DataFrame) -> None:
-        self.df = df
+    def __init__(self, df: DataFrame, stats: Statistics | None = None) -> None:
+        self.df, self.stats = df, stats
 
     @property
     def spark(self) -> SparkSession:
         return self.df.sparkSession
 
+    def statistics(self) -> Statistics:
+        """What is known of the graph's predicates, for the order of joins."""
+        return self.stats or Statistics()
+
     def __len__(self) -> int:
         return self.df.count()
 
@@ -98,7 +103,13 @@ class Mapped(Graph):
     """Tables seen as a graph. A pattern with a constant predicate reads its one column; only patterns without one read all."""
 
     def __init__(self, tables: Tables) -> None:
-        self.tables = tables
+        self.tables, self.stats = tables, None
+
+    def statistics(self) -> Statistics:
+        if self.stats is None:
+            counts = self.tables.counts()
+            self.stats = Statistics(sum(n for n, _, _ in counts.values()), counts)
+        return self.stats
 
     @property
     def spark(self) -> SparkSession:
@@ -156,10 +167,40 @@ def graph_of_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> Grap
     return Graph(spark.createDataFrame(sorted(set(rows)), SCHEMA))
 
 
+class Stored(Graph):
+    """A saved dataset: a folder for each predicate, and a copy sorted by object for patterns that have one but no predicate."""
+
+    def __init__(self, df: DataFrame, by_object: DataFrame | None, stats: Statistics | None) -> None:
+        super().__init__(df, stats)
+        self.by_object = by_object
+
+    def match(self, s: str | None = None, p: str | None = None, o: str | None = None, order: str | None = None) -> DataFrame:
+        if self.by_object is None or p or s or not o:
+            return super().match(s, p, o, order)
+        found = self.by_object.where(F.col("o") == o).select("s", "p", "o")
+        return sorted_by(found, order) if order else found
+
+
 def open_graph(spark: SparkSession, path: str, cache: bool = False) -> Graph:
-    """A saved dataset (see sources.writers.save)."""
+    """A saved dataset (see sources.writers.save), with its statistics and its copy by object if it has them."""
+    path = path.rstrip("/")
     df = spark.read.schema("s string, o string, p string").option("basePath", path).parquet(path).select("s", "p", "o")
-    return Graph(df.cache() if cache else df)
+    index = spark.read.schema(SCHEMA).parquet(f"{path}_by_object") if _exists(spark, f"{path}_by_object") else None
+    stats = None
+    if _exists(spark, f"{path}_statistics"):
+        counts = {r["p"]: (r["triples"], r["subjects"], r["objects"]) for r in spark.read.parquet(f"{path}_statistics").collect()}  # one for each predicate
+        stats = Statistics(sum(n for n, _, _ in counts.values()), counts)
+    return Stored(df.cache() if cache else df, index.cache() if cache and index is not None else index, stats)
+
+
+def open_table(spark: SparkSession, table: str) -> Graph:
+    """A graph saved by sources.writers.save_table: its buckets by subject join stars without a shuffle."""
+    return Graph(spark.table(table).select("s", "p", "o"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def sorted_by(df: DataFrame, order: str = "spo") -> DataFrame:

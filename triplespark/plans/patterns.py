@@ -95,8 +95,8 @@ def stars(patterns: list[TriplePattern]) -> list[StarPattern]:
 
 
 def shape(patterns: list[TriplePattern]) -> str | None:
-    """paths if all subjects differ, N_stars with up to three subjects, else None."""
+    """N_stars with up to three distinct subjects; beyond that paths if no two patterns share a subject, else None."""
     subjects = len({t.s for t in patterns})
-    if subjects == len(patterns):
-        return "paths"
-    return f"{subjects}_stars" if subjects <= 3 else None
+    if subjects <= 3:
+        return f"{subjects}_stars"
+    return "paths" if subjects == len(patterns) else None

@@ -7,9 +7,8 @@ from dataclasses import dataclass, field
 from ..functions.terms import TYPE, Variable
 from .patterns import StarPattern, TriplePattern
 
-# Weights of a pattern without statistics, by its constant positions.
-WEIGHTS = {"spo": 1, "sp": 5, "so": 5, "s": 40, "po": 90, "o": 200, "p": 2000, "": 10000}
-TYPE_WEIGHT = 1000
+#: Without statistics a graph is taken to have so many triples, predicates, and triples of a subject.
+TRIPLES, PREDICATES, OF_SUBJECT = 1_000_000, 50, 10
 
 
 @dataclass(frozen=True)
@@ -23,9 +22,9 @@ class Statistics:
         """Expected matches of a pattern, for one value of each known variable."""
         fixed = [not isinstance(x, Variable) or x.name in known for x in (t.s, t.p, t.o)]
         if not self.predicates:
-            key = "".join(c for c, f in zip("spo", fixed, strict=True) if f)
-            return TYPE_WEIGHT if key == "po" and t.p == TYPE else WEIGHTS[key]
-        if isinstance(t.p, Variable):
+            n, s = (TRIPLES // PREDICATES if fixed[1] else TRIPLES), TRIPLES // OF_SUBJECT
+            o = PREDICATES if t.p == TYPE else round(n**0.5)  # classes are few
+        elif isinstance(t.p, Variable):
             n, s, o = (sum(v[i] for v in self.predicates.values()) for i in range(3))
         elif t.p not in self.predicates:
             return 0.0

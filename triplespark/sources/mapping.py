@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +49,38 @@ class Tables:
     spark: SparkSession
     path: str
     names: tuple[str, ...]
+    _opened: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """The table; its footers are read once."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._opened[name]
 
     def columns(self, name: str) -> dict[str, str]:
         return {c: t for c, t in self.read(name).dtypes if not t.startswith(("array", "map", "struct"))}
 
+    def rows(self, name: str) -> int:
+        """About how many rows a table has, from its size on disk and the width of its columns: no job is run."""
+        df = self.read(name)
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return max(1, int(plan.stats().sizeInBytes()) // max(1, int(df._jdf.schema().defaultSize())))
+
+    def counts(self) -> dict[str, tuple[int, int, int]]:
+        """About how many triples, subjects and objects each predicate has. A column that is neither a key nor a link is
+        taken to repeat its values, as often as it has different ones."""
+        rows = {t: self.rows(t) for t in self.names}
+        out = {}
+        for t, n in rows.items():
+            for c in self.columns(t):
+                target = FOREIGN.get(t, {}).get(c)
+                out[predicate(t, c)] = n, n, min(n, rows.get(target, n)) if target else n if KEYS[t] == [c] else max(1, round(n**0.5))
+        for p, (t, (s, _), (o, _)) in INVERSE.items():
+            if t in rows and s in rows:
+                out[BASE + p] = rows[t], min(rows[s], rows[t]), rows[t] if o else max(1, round(rows[t] ** 0.5))
+        out[T.TYPE] = sum(rows.values()), sum(rows.values()), len(rows)
+        return out
+
     def predicates(self) -> list[str]:
         own = [predicate(t, c) for t in self.names for c in self.columns(t)]
         return own + [BASE + p for p, (t, (s, _), _) in INVERSE.items() if t in self.names and s in self.names] + [T.TYPE]

@@ -11,15 +11,21 @@ from ..functions import terms as T
 from ..plans.graph import Graph
 
 
-def save(graph: Graph, path: str, index: bool = False, mode: str = "overwrite") -> None:
-    """A dataset: a folder for each predicate, sorted by subject; with index a second copy, sorted by object, in path_by_object.
+def save(graph: Graph, path: str, index: bool = False, statistics: bool = False, mode: str = "overwrite") -> None:
+    """A dataset: a folder for each predicate, sorted by subject; with index a second copy, sorted by object, in path_by_object,
+    which open_graph reads for patterns of an object without a predicate; with statistics the counts that order joins, in
+    path_statistics.
 
     A predicate's rows are spread over files by subject, so a frequent one does not meet in one task."""
-    df = graph.df.select("s", "p", "o")
+    df, path = graph.df.select("s", "p", "o"), path.rstrip("/")
     spread = F.pmod(F.xxhash64("s"), F.lit(64))
     df.repartition("p", spread).sortWithinPartitions("p", "s", "o").write.mode(mode).partitionBy("p").option("parquet.bloom.filter.enabled#o", "true").parquet(path)
     if index:
-        df.repartitionByRange("o", "s").sortWithinPartitions("o", "p", "s").write.mode(mode).parquet(f"{path.rstrip('/')}_by_object")
+        df.repartitionByRange("o", "s").sortWithinPartitions("o", "p", "s").write.mode(mode).parquet(f"{path}_by_object")
+    if statistics:
+        saved = df.sparkSession.read.schema("s string, o string, p string").option("basePath", path).parquet(path)
+        counts = saved.groupBy("p").agg(F.count("*").alias("triples"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
+        counts.write.mode(mode).parquet(f"{path}_statistics")
 
 
 def save_table(graph: Graph, table: str, buckets: int = 64, mode: str = "overwrite") -> None:
@@ -28,7 +34,12 @@ def save_table(graph: Graph, table: str, buckets: int = 64, mode: str = "overwri
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """More triples to a dataset, as they come; compact() makes a set of it again."""
+    """More triples to a dataset, as they come; compact() makes a set of it again. Its copy by object and its statistics go,
+    as they don't know the new triples."""
+    spark = rows.sparkSession
+    for part in ("by_object", "statistics"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_{part}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     rows.select("s", "p", "o").write.mode("append").partitionBy("p").parquet(path)
 
 
@@ -89,9 +100,15 @@ def html_fields(fragment) -> dict[str, object]:
     return {"total": fragment.total, "start": start + 1, "end": min(start + fragment.size, fragment.total), "previous": r.page - 1 if r.page > 1 else None, "next": None if fragment.last else r.page + 1}
 
 
+def page_fields(kind: str, datasets: list[str] = (), problem: str = "") -> dict[str, object]:
+    """What an index, not-found or error page shows, and its status."""
+    status = {"index": 200, "notfound": 404, "error": 500}[kind]
+    return {"status": status, "datasets": sorted(datasets), "problem": problem}
+
+
 def best_match(supported: list[str], accept: str) -> str:
-    """The supported media type that an Accept header likes best, '' if none: the closest range counts, then its quality,
-    and of equals the later supported one."""
+    """The supported media type that an Accept header likes best, '' if none: the quality of the closest range counts, then
+    how close it is (type, subtype, parameters), and of equals the later supported one."""
 
     def parse(text: str) -> tuple[str, str, dict[str, str], float]:
         kind, *rest = [x.strip() for x in text.split(";")]
@@ -102,13 +119,10 @@ def best_match(supported: list[str], accept: str) -> str:
         return main, sub, params, quality
 
     ranges = [parse(x) for x in accept.split(",") if x.strip()]
-    best = (0.0, -1, -1, "")
+    fits = []
     for i, text in enumerate(supported):
         main, sub, params, _ = parse(text)
-        closest = (-1, 0.0)
-        for rm, rs, rp, q in ranges:
-            if rm in (main, "*") and rs in (sub, "*"):
-                closest = max(closest, (100 * (rm == main) + 10 * (rs == sub) + sum(params.get(k) == v for k, v in rp.items()), q))
-        if closest[0] >= 0 and closest[1] > 0:
-            best = max(best, (closest[1], closest[0], i, text))
-    return best[3]
+        near = [((rm == main, rs == sub, sum(params.get(k) == v for k, v in rp.items())), q) for rm, rs, rp, q in ranges if rm in (main, "*") and rs in (sub, "*")]
+        if near and max(near)[1] > 0:
+            fits.append((max(near)[1], max(near)[0], i))
+    return supported[max(fits)[2]] if fits else ""
