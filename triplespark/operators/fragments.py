@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import parse_qs, quote, unquote, urlencode, urlsplit
@@ -15,6 +17,7 @@ from ..functions.terms import Variable, parse_term
 from ..plans.graph import Graph, graph_of_rows, var
 from ..plans.patterns import Position, StarPattern, TriplePattern
 from ..plans.sparql import Parser
+from ..plans.tables import numbered
 from .joins import bindings, distinct_stars, match_star
 
 # Fixed values of the protocol.
@@ -46,6 +49,7 @@ class Fragment:
     request: Request
     size: int = PAGE_SIZE
     base: str = field(default="")
+    whole: DataFrame | None = None  # all pages at once
 
     @property
     def last(self) -> bool:
@@ -87,9 +91,37 @@ def page_of(df: DataFrame, page: int, size: int = PAGE_SIZE, total: int | None =
     return df.orderBy(*df.columns).offset(size * (page - 1)).limit(size)
 
 
-def tpf(graph: Graph, t: TriplePattern, page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
-    found = _triples(graph, t)
-    return Fragment(page_of(found, page, size, total := found.count()), total, Request("tpf", dataset, page, t), size, base)
+class PageCache:
+    """Matches sorted and numbered once for each request, so that a page is a range of numbers. The least recently asked go
+    first, with their tables."""
+
+    def __init__(self, entries: int = 500) -> None:
+        self.entries, self.held, self.hits = entries, OrderedDict(), 0
+
+    def get(self, key: object, found: DataFrame) -> tuple[DataFrame, int]:
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+        else:
+            self.held[key] = numbered(found, *found.columns)
+            if len(self.held) > self.entries:
+                self.held.popitem(last=False)
+        return self.held[key]
+
+
+def _fragment(graph: Graph, found: DataFrame, request: Request, size: int, base: str, pages: PageCache | None) -> Fragment:
+    """A page of the matches: a range of their numbers where they are kept, else the first rows of a sort."""
+    if pages is None:
+        total = found.count()
+        return Fragment(page_of(found, request.page, size, total), total, request, size, base, found)
+    rows, total = pages.get((id(graph), request.at(1)), found)
+    start = size * (request.page - 1)
+    data = rows.where((F.col("at") >= start) & (F.col("at") < start + size)).orderBy("at").drop("at")
+    return Fragment(data, total, request, size, base, rows.drop("at"))
+
+
+def tpf(graph: Graph, t: TriplePattern, page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "", pages: PageCache | None = None) -> Fragment:
+    return _fragment(graph, _triples(graph, t), Request("tpf", dataset, page, t), size, base, pages)
 
 
 def _triples(graph: Graph, t: TriplePattern) -> DataFrame:
@@ -121,18 +153,17 @@ def restrict(graph: Graph, t: TriplePattern, names: list[str], rows: list[tuple[
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def brtpf(graph: Graph, t: TriplePattern, names: list[str], rows: list[tuple[str | None, ...]], page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
-    found = restrict(graph, t, names, rows)
-    return Fragment(page_of(found, page, size, total := found.count()), total, Request("brtpf", dataset, page, t, None, tuple(names), tuple(rows)), size, base)
+def brtpf(graph: Graph, t: TriplePattern, names: list[str], rows: list[tuple[str | None, ...]], page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "", pages: PageCache | None = None) -> Fragment:
+    return _fragment(graph, restrict(graph, t, names, rows), Request("brtpf", dataset, page, t, None, tuple(names), tuple(rows)), size, base, pages)
 
 
-def spf(graph: Graph, star: StarPattern, names: list[str] = (), rows: list[tuple[str | None, ...]] = (), page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "") -> Fragment:
+def spf(graph: Graph, star: StarPattern, names: list[str] = (), rows: list[tuple[str | None, ...]] = (), page: int = 1, size: int = PAGE_SIZE, dataset: str = "", base: str = "", pages: PageCache | None = None) -> Fragment:
     """Stars, as (s, pairs); under bindings, those of the star with any row's values in place."""
     if rows:
         found = reduce(DataFrame.unionByName, (_bound_stars(graph, star, list(names), group) for group in _by_bound(list(rows)))).distinct()
     else:
         found = distinct_stars(graph, star)
-    return Fragment(page_of(found, page, size, total := found.count()), total, Request("spf", dataset, page, None, star, tuple(names), tuple(rows)), size, base)
+    return _fragment(graph, found, Request("spf", dataset, page, None, star, tuple(names), tuple(rows)), size, base, pages)
 
 
 def _by_bound(rows: list[tuple[str | None, ...]]) -> list[list]:
@@ -154,11 +185,9 @@ def _bound_stars(graph: Graph, star: StarPattern, names: list[str], rows: list[t
     return matches.select(value(star.s).alias("s"), pairs.alias("pairs"))
 
 
-def drain(fragment_at, size: int = PAGE_SIZE) -> DataFrame:
-    """The union of all pages: fragment_at(page) gives one."""
-    first = fragment_at(1)
-    pages = [first.data] + [fragment_at(p).data for p in range(2, -(-first.total // size) + 1)]
-    return reduce(DataFrame.unionByName, pages)
+def drain(fragment_at) -> DataFrame:
+    """The union of all pages; fragment_at(page) gives one. They share one plan, so nothing is sorted or counted page by page."""
+    return fragment_at(1).whole
 
 
 def without_metadata(triples: DataFrame, url: str) -> DataFrame:
@@ -228,11 +257,40 @@ def from_url(url: str) -> Request:
     return Request("spf", dataset, page, None, StarPattern(subject, pairs), names, rows)
 
 
-def answer(graph: Graph, url: str, size: int = PAGE_SIZE, base: str = "") -> Fragment:
+def answer(graph: Graph, url: str, size: int = PAGE_SIZE, base: str = "", pages: PageCache | None = None) -> Fragment:
     """The fragment that a request's URL asks for."""
     r = from_url(url)
     if r.kind == "tpf":
-        return tpf(graph, r.pattern, r.page, size, r.dataset, base)
+        return tpf(graph, r.pattern, r.page, size, r.dataset, base, pages)
     if r.kind == "brtpf":
-        return brtpf(graph, r.pattern, list(r.names), list(r.values), r.page, size, r.dataset, base)
-    return spf(graph, r.star, list(r.names), list(r.values), r.page, size, r.dataset, base)
+        return brtpf(graph, r.pattern, list(r.names), list(r.values), r.page, size, r.dataset, base, pages)
+    return spf(graph, r.star, list(r.names), list(r.values), r.page, size, r.dataset, base, pages)
+
+
+class Client:
+    """Asks for fragments by URL and keeps the responses, the oldest of `entries` going first.
+
+    fetch(url) gives a fragment, such as answer() with a graph and its PageCache. requests counts those not kept."""
+
+    def __init__(self, fetch: Callable[[str], Fragment], entries: int = 1000) -> None:
+        self.fetch, self.entries, self.kept = fetch, entries, OrderedDict()
+        self.requests = self.hits = 0
+
+    def get(self, url: str) -> Fragment:
+        if url in self.kept:
+            self.hits += 1
+            return self.kept[url]
+        self.requests += 1
+        self.kept[url] = found = self.fetch(url)
+        if len(self.kept) > self.entries:
+            self.kept.popitem(last=False)
+        return found
+
+    def pages(self, request: Request, base: str = "") -> Iterator[Fragment]:
+        """Page after page, as long as there is a next one."""
+        while True:
+            found = self.get(to_url(request, base))
+            yield found
+            if found.last:
+                return
+            request = request.at(request.page + 1)
