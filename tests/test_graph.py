@@ -155,7 +155,9 @@ def test_methods_agree_with_brute_force(spark, seed):
 
 def test_shapes_and_orders():
     x, y, z = V("x"), V("y"), V("z")
-    assert shape([TriplePattern(x, "p", y), TriplePattern(y, "p", z)]) == "paths"
+    assert shape([TriplePattern(x, "p", y), TriplePattern(y, "p", z)]) == "2_stars"
+    assert shape([TriplePattern(V(c), "p", x) for c in "abcd"]) == "paths"
+    assert shape([TriplePattern(V(c), "p", x) for c in "abcda"]) is None
     assert shape([TriplePattern(x, "p", y), TriplePattern(x, "q", z)]) == "1_stars"
     assert [t.p for t in order([TriplePattern(x, V("p"), y), TriplePattern(y, "q", "o"), TriplePattern(x, "r", y)])] == ["q", "r", V("p")]
     assert TriplePattern(x, "p", x).contains(TriplePattern("a", "p", "a")) and not TriplePattern(x, "p", x).contains(TriplePattern("a", "p", "b"))

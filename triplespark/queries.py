@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import json
+import tarfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import terms as T
 from .functions.terms import Variable as V
-from .operators import dictionary, fragments, joins, setops, stats
+from .operators import dictionary, fragments, joins, metrics, setops, stats
 from .plans.compiler import sparql
-from .plans.graph import Graph, Mapped, graph_of, open_graph, var
+from .plans.graph import Graph, Mapped, graph_of, graph_of_rows, open_graph, open_table, var
 from .plans.patterns import StarPattern, TriplePattern, shape, stars
 from .plans.sparql import parse
-from .plans.tables import settle
-from .sources import readers, writers
+from .plans.tables import delete_at_end, numbered, settle, shared_dir
+from .sources import catalog, readers, writers
 from .sources.mapping import BASE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,11 +148,14 @@ def tp12_header(spark, sf_dir):
 for _order in ("spo", "sop", "pso", "pos", "osp", "ops"):
 
     def _sorted(spark, sf_dir, order=_order):
-        rows = split_object(mapped(spark, sf_dir, "nation", "region").match(order=order))
-        return rows.orderBy(*(F.coalesce("o", F.lit("")) if c == "o" else c for c in order)).limit(40)
+        """All triples, with the position that the sorted graph gives each."""
+        rows, _ = numbered(mapped(spark, sf_dir, "nation", "region").match(order=order), *order, first=1)
+        return rows.select("at", "s", "p", T.lex(F.col("o")).alias("o"))
 
     QUERIES[f"tp13_order_{_order}"] = _sorted
-    ORACLE_SQL[f"tp13_order_{_order}"] = f"SELECT * FROM ({unpivot('nation', 'region')}) ORDER BY {', '.join(_order)} LIMIT 40"
+    # a literal's quotes stand before letters; the tables' other objects are IRIs and whole numbers
+    _KEY = "CASE WHEN o LIKE 'urn:%' THEN o WHEN p LIKE '%key' THEN '\"' || o || '\"^^' ELSE '\"' || o || '\"' END"
+    ORACLE_SQL[f"tp13_order_{_order}"] = f"SELECT row_number() OVER (ORDER BY {', '.join(_KEY if c == 'o' else c for c in _order)}) AS at, s, p, o FROM ({unpivot('nation', 'region')})"
 
 
 @query(f"SELECT p AS term FROM ({CN})")
@@ -280,6 +287,7 @@ TEXTS = {
     "sink": "SELECT * WHERE { ?c cu:c_nationkey ?n . ?s su:s_nationkey ?n }",
     "two": "SELECT * WHERE { ?c cu:c_name ?n ; cu:c_nationkey ?k . ?k na:n_name ?m ; na:n_regionkey ?r }",
     "many": "SELECT * WHERE { ?a cu:c_name ?n ; cu:c_acctbal ?x . ?b su:s_name ?m . ?c na:n_name ?o . ?d re:r_name ?p }",
+    "long": "SELECT * WHERE { ?l li:l_orderkey ?o . ?o or:o_custkey ?c . ?c cu:c_nationkey ?n . ?n na:n_regionkey ?r }",
 }
 
 
@@ -287,18 +295,18 @@ def _patterns(name: str) -> list[TriplePattern]:
     return list(parse(TEXTS[name], PREFIXES).where.patterns)
 
 
-@query("SELECT * FROM (VALUES ('many', 'a', 2), ('many', 'b', 1), ('many', 'c', 1), ('many', 'd', 1), ('path', 'c', 1), ('path', 'n', 1), ('path', 'o', 1), ('sink', 'c', 1), ('sink', 's', 1), ('star', 'c', 3), ('two', 'c', 2), ('two', 'k', 2)) t(query, subject, patterns)")
+@query("SELECT * FROM (VALUES ('long', 'l', 1), ('long', 'o', 1), ('long', 'c', 1), ('long', 'n', 1), ('many', 'a', 2), ('many', 'b', 1), ('many', 'c', 1), ('many', 'd', 1), ('path', 'c', 1), ('path', 'n', 1), ('path', 'o', 1), ('sink', 'c', 1), ('sink', 's', 1), ('star', 'c', 3), ('two', 'c', 2), ('two', 'k', 2)) t(query, subject, patterns)")
 def sh1_decompose(spark, sf_dir):
     rows = [(q, s.s.name, len(s.pairs)) for q in TEXTS for s in stars(_patterns(q))]
     return spark.createDataFrame(rows, "query string, subject string, patterns int")
 
 
-@query("SELECT * FROM (VALUES ('star', '1_stars'), ('path', 'paths'), ('sink', 'paths'), ('two', '2_stars'), ('many', CAST(NULL AS VARCHAR))) t(query, shape)")
+@query("SELECT * FROM (VALUES ('star', '1_stars'), ('path', '3_stars'), ('sink', '2_stars'), ('two', '2_stars'), ('many', CAST(NULL AS VARCHAR)), ('long', 'paths')) t(query, shape)")
 def sh4_shapes(spark, sf_dir):
     return spark.createDataFrame([(q, shape(_patterns(q))) for q in TEXTS], "query string, shape string")
 
 
-@query("SELECT 5 AS most, 3.4 AS mean")
+@query("SELECT 5 AS most, 3.5 AS mean")
 def sh5_query_statistics(spark, sf_dir):
     sizes = spark.createDataFrame([(len(_patterns(q)),) for q in TEXTS], "n int")
     return sizes.agg(F.max("n").alias("most"), F.avg("n").alias("mean"))
@@ -439,9 +447,31 @@ _page("fr7_metadata", "SELECT 'http://rdfs.org/ns/void#triples' AS p, CAST(count
       lambda spark, sf_dir: _fragment(spark, sf_dir, 1).metadata().where(T.num(F.col("o")).isNotNull()).select("p", T.num(F.col("o")).cast("bigint").alias("o")))
 _page("fr8_controls", "SELECT * FROM (VALUES ('http://www.w3.org/ns/hydra/core#first', 1), ('http://www.w3.org/ns/hydra/core#previous', 1)) t(p, page) UNION ALL SELECT 'http://www.w3.org/ns/hydra/core#next', 3 FROM customer HAVING count(*) > 200",
       lambda spark, sf_dir: _fragment(spark, sf_dir, 2).controls().where(F.col("p").rlike("#(first|next|previous)$")).select("p", F.coalesce(F.regexp_extract("o", r"page=(\d+)", 1).try_cast("int"), F.lit(1)).alias("page")))
-_page("fr9_page_cache", f"SELECT count(*) AS rows_, count(DISTINCT s) AS subjects FROM ({SEGMENT_SQL} ORDER BY s, p, o LIMIT 100 OFFSET 200)".replace("rows_", '"rows"'),
-      lambda spark, sf_dir: (lambda held: fragments.page_of(held, 3).agg(F.count("*").alias("rows"), F.count_distinct("s").alias("subjects")))(settle(_lexed(fragments._triples(mapped(spark, sf_dir, "customer"), SEGMENT)))))
-_page("fr11_drain", f"SELECT * FROM ({unpivot('nation')})", lambda spark, sf_dir: split_object(fragments.drain(lambda k: fragments.tpf(mapped(spark, sf_dir, "nation"), TriplePattern(V("s"), V("p"), V("o")), k, 40), 40)))
+
+
+def _kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of one request and the first again, all from rows that are sorted once."""
+    graph, pages = mapped(spark, sf_dir, "customer"), fragments.PageCache(2)
+    found = [fragments.tpf(graph, SEGMENT, k, pages=pages) for k in (1, 2, 3, 1)]
+    parts = [_lexed(f.data).select(F.lit(i).alias("ask"), "s", "o", F.lit(pages.hits).alias("hits")) for i, f in enumerate(found)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_page("fr9_page_cache", f"SELECT a.ask, s, o, 3 AS hits FROM (VALUES (0, 0), (1, 100), (2, 200), (3, 0)) a(ask, low) JOIN (SELECT s, o, row_number() OVER (ORDER BY s, p, o) - 1 AS n FROM ({SEGMENT_SQL})) t ON t.n >= low AND t.n < low + 100", _kept_pages)
+
+
+def _asked_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern's pages followed to the last, twice: the second time none is requested."""
+    graph, pages = mapped(spark, sf_dir, "customer"), fragments.PageCache()
+    client = fragments.Client(lambda url: fragments.answer(graph, url, 40, pages=pages))
+    request = fragments.Request("tpf", "d", 1, TriplePattern(V("s"), f"{BASE}customer#c_nationkey", "urn:kg:nation/3"))
+    rows = [(turn, f.request.page, f.total, f.data.count()) for turn in (1, 2) for f in client.pages(request)]
+    return spark.createDataFrame(rows, "turn int, page int, total long, n long").withColumns({"requests": F.lit(client.requests), "hits": F.lit(client.hits)})
+
+
+_page("fr10_client_cache", """WITH c AS (SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 40.0)) AS INTEGER) AS pages FROM customer WHERE c_nationkey = 3)
+    SELECT turn, page, total, least(40, total - 40 * (page - 1)) AS n, pages AS requests, pages AS hits FROM c, (VALUES (1), (2)) t(turn), (SELECT CAST(range AS INTEGER) AS page FROM range(1, 100000)) p WHERE page <= pages""", _asked_again)
+_page("fr11_drain", f"SELECT * FROM ({unpivot('nation')})", lambda spark, sf_dir: split_object(fragments.drain(lambda k: fragments.tpf(mapped(spark, sf_dir, "nation"), TriplePattern(V("s"), V("p"), V("o")), k, 40))))
 _page("fr12_metadata_filter", f"{SEGMENT_SQL} ORDER BY s, p, o LIMIT 100", lambda spark, sf_dir: (lambda f: _lexed(fragments.without_metadata(f.data.unionByName(f.metadata()).unionByName(f.controls()), fragments.to_url(f.request, f.base))))(_fragment(spark, sf_dir, 1)))
 
 
@@ -543,7 +573,7 @@ _page("it8_group_reduce", "SELECT c_mktsegment AS m, max(c_acctbal) AS b FROM cu
 _page("it9_flatmap", "SELECT n_nationkey AS k, unnest(string_split(n_name, 'A')) AS part FROM nation", lambda spark, sf_dir: setops.flat_map(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), "n_name"), F.split("n_name", "A"), "part").select("k", "part"))
 _page("it9_dependent", "SELECT n_nationkey AS k, c_custkey AS c FROM nation JOIN customer ON n_nationkey = c_nationkey", lambda spark, sf_dir: setops.dependent(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k")), spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("c")), ["k"]))
 _page("it10_range", "SELECT CAST(range AS BIGINT) AS n FROM range(3, 40)", lambda spark, sf_dir: setops.numbers(spark, 3, 40))
-_page("it12_sort", f"SELECT s, p FROM ({unpivot('nation')}) ORDER BY p, s LIMIT 30", lambda spark, sf_dir: mapped(spark, sf_dir, "nation").match(order="pso").select("s", "p").orderBy("p", "s").limit(30))
+_page("it12_sort", f"SELECT row_number() OVER (ORDER BY p, s) AS at, s, p FROM ({unpivot('nation')})", lambda spark, sf_dir: numbered(mapped(spark, sf_dir, "nation").match(order="pso").select("s", "p"), "p", "s", first=1)[0].select("at", "s", "p"))
 _page("it12_dedup", f"SELECT DISTINCT * FROM ({unpivot('nation')})", lambda spark, sf_dir: (lambda d: split_object(graph_of(d.unionByName(d)).df))(mapped(spark, sf_dir, "nation").df))
 _page("it12_remove", f"SELECT * FROM ({unpivot('nation')}) WHERE p <> 'urn:kg:nation#n_name'", lambda spark, sf_dir: split_object(mapped(spark, sf_dir, "nation").remove(p=f"{BASE}nation#n_name").df))
 _page("src20_mutable", f"SELECT s, p, o FROM ({unpivot('region')}) WHERE s <> 'urn:kg:region/1' UNION ALL SELECT 'urn:x', 'urn:p', 'o2'",
@@ -554,8 +584,9 @@ _page("src20_mutable", f"SELECT s, p, o FROM ({unpivot('region')}) WHERE s <> 'u
 
 def _folder(spark: SparkSession) -> str:
     """A new place in the folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="triplespark-")
-    return f"{at.rstrip('/')}/files/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
 
 
 def _round(name: str, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame], *tables: str) -> None:
@@ -612,3 +643,273 @@ def fn2_escape(spark, sf_dir):
     path = _folder(spark)
     writers.ntriples(docs.select(F.concat(F.lit("urn:d:"), F.col("doc_id").cast("string")).alias("s"), F.lit("urn:text").alias("p"), T.plain(F.col("text")).alias("o")), path)
     return readers.ntriples(spark, path).select(F.substr("s", F.lit(7)).cast("bigint").alias("doc_id"), T.lex(F.col("o")).alias("text"))
+
+
+# Stored graphs: saved by predicate and by object, or as a bucketed table, then asked
+
+
+def stored(spark: SparkSession, sf_dir: str, *tables: str) -> Graph:
+    path = _folder(spark)
+    for part in ("by_object", "statistics"):
+        delete_at_end(spark, f"{path}_{part}")
+    writers.save(mapped(spark, sf_dir, *tables), path, index=True, statistics=True)
+    return open_graph(spark, path)
+
+
+def bucketed(spark: SparkSession, sf_dir: str, *tables: str) -> Graph:
+    table = f"kg_{uuid.uuid4().hex}"
+    writers.save_table(mapped(spark, sf_dir, *tables), table, 8)
+    return open_table(spark, table)
+
+
+@query(ORACLE_SQL["tp4_object"])
+def src3_object_index(spark, sf_dir):
+    """An object without a predicate, read from the copy by object alone."""
+    return split_object(stored(spark, sf_dir, "customer", "nation").match(o="urn:kg:nation/3"))
+
+
+@query(ORACLE_SQL["tp6_po"])
+def tp6_stored(spark, sf_dir):
+    return split_object(stored(spark, sf_dir, "customer", "nation").match(p="urn:kg:customer#c_mktsegment", o='"BUILDING"'))
+
+
+@query(STAR_SQL)
+def st1_stored(spark, sf_dir):
+    return _star_out(joins.match_star(stored(spark, sf_dir, "customer"), STAR))
+
+
+@query(STAR_SQL)
+def st1_bucketed(spark, sf_dir):
+    return _star_out(joins.match_star(bucketed(spark, sf_dir, "customer"), STAR))
+
+
+@query(ORACLE_SQL["st5_star_values"])
+def st5_stored(spark, sf_dir):
+    graph = stored(spark, sf_dir, "customer")
+    values = joins.bindings(graph, ["c_mktsegment"], [('"BUILDING"',), ('"MACHINERY"',)])
+    return _star_out(joins.with_bindings(joins.match_star(graph, STAR), values, 2))
+
+
+for _m, _method_name in (("bj1_stored", "brtpf"), ("bj2_stored", "tpf"), ("bj3_stored", "spf")):
+
+    def _stored_method(spark, sf_dir, method=_method_name):
+        found = joins.evaluate(stored(spark, sf_dir, "orders", "customer", "nation"), OCN, method)
+        return found.select(F.col(var("o")).alias("o"), F.col(var("c")).alias("c"), T.lex(F.col(var("name"))).alias("name"))
+
+    QUERIES[_m] = _stored_method
+    ORACLE_SQL[_m] = OCN_SQL
+
+
+@query(ORACLE_SQL["al1_bgp"])
+def al1_stored(spark, sf_dir):
+    text = 'SELECT ?name ?seg ?nation WHERE { ?c cu:c_name ?name ; cu:c_mktsegment ?seg ; cu:c_nationkey ?n . ?n na:n_name ?nation ; na:n_regionkey ?r . ?r re:r_name "ASIA" }'
+    return typed(sparql(stored(spark, sf_dir, "customer", "nation", "region"), text, PREFIXES), name="str", seg="str", nation="str")
+
+
+@query(ORACLE_SQL["al9_seq"])
+def al9_stored(spark, sf_dir):
+    return typed(sparql(stored(spark, sf_dir, "customer", "nation", "region"), "SELECT ?c ?r WHERE { ?c cu:c_nationkey/na:n_regionkey/re:r_name ?r }", PREFIXES), c="str", r="str")
+
+
+# Sources and catalogs
+
+
+@query(f"SELECT * FROM ({unpivot('nation')})")
+def src1_in_memory(spark, sf_dir):
+    path = _folder(spark)
+    writers.save(mapped(spark, sf_dir, "nation"), path)
+    return split_object(open_graph(spark, path, cache=True).df)
+
+
+def _file(spark: SparkSession, content: bytes, name: str) -> str:
+    """A single file in the shared folder, written by Spark."""
+    path = f"{_folder(spark)}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
+def _nt(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """The N-Triples of a small table."""
+    return "".join(r.value + "\n" for r in writers.lines(mapped(spark, sf_dir, table).df).collect())
+
+
+@query("SELECT 'urn:kg:region/' || r_regionkey AS s, 'urn:kg:v#name' AS p, r_name AS o FROM region")
+def src7_rdfxml(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/region.parquet").collect()
+    body = "".join(f'<rdf:Description rdf:about="urn:kg:region/{r.r_regionkey}"><v:name>{r.r_name}</v:name></rdf:Description>' for r in names)
+    text = f'<rdf:RDF xmlns:rdf="{T.RDF}" xmlns:v="urn:kg:v#">{body}</rdf:RDF>'
+    return _lexed(readers.read(spark, _file(spark, text.encode(), "x.rdf")))
+
+
+@query(f"SELECT * FROM ({unpivot('nation', 'region', types=True)}) WHERE p NOT LIKE '%hasNation'")
+def src9_file_list(spark, sf_dir):
+    paths = [_file(spark, _nt(spark, sf_dir, t).encode(), f"{t}.nt") for t in ("nation", "region")]
+    return split_object(readers.read(spark, _file(spark, "\n".join(paths).encode(), "all.list")))
+
+
+@query(f"SELECT * FROM ({unpivot('nation')}) UNION ALL SELECT * FROM ({unpivot('region')})")
+def src10_archives(spark, sf_dir):
+    one, two = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(one, "w") as z:
+        z.writestr("nation.nt", _nt(spark, sf_dir, "nation"))
+    with tarfile.open(fileobj=two, mode="w:gz") as t:
+        info = tarfile.TarInfo("region.nt")
+        content = _nt(spark, sf_dir, "region").encode()
+        info.size = len(content)
+        t.addfile(info, io.BytesIO(content))
+    return split_object(readers.read(spark, _file(spark, one.getvalue(), "a.zip")).unionByName(readers.read(spark, _file(spark, two.getvalue(), "b.tgz"))))
+
+
+@query("SELECT * FROM (VALUES ('a.ttl.gz', 'turtle'), ('b.NT', 'ntriples'), ('', 'ntriples'), ('c.owl', 'rdfxml'), ('d.nq.bz2', 'nquads'), ('e.doc', CAST(NULL AS VARCHAR))) t(name, format)")
+def src12_format_guess(spark, sf_dir):
+    def guess(name: str) -> str | None:
+        try:
+            return readers.guess_format(name)
+        except readers.UnknownFormat:
+            return None
+
+    return spark.createDataFrame([(n, guess(n)) for n in ("a.ttl.gz", "b.NT", "", "c.owl", "d.nq.bz2", "e.doc")], "name string, format string")
+
+
+@query(f"SELECT * FROM ({unpivot('nation')})")
+def src13_directory(spark, sf_dir):
+    """A folder of files, a repeated triple among them, as one graph."""
+    path = _folder(spark)
+    writers.ntriples(mapped(spark, sf_dir, "nation").df.repartition(3), path)
+    writers.ntriples(mapped(spark, sf_dir, "nation").df.limit(5), path, mode="append")
+    return split_object(graph_of(readers.read(spark, path, "nt")).df)
+
+
+@query(f"SELECT * FROM ({unpivot('region')})")
+def src14_import(spark, sf_dir):
+    """Lines to a saved dataset in one job, and through a dictionary of the terms first."""
+    path, target = _folder(spark), _folder(spark)
+    writers.ntriples(mapped(spark, sf_dir, "region").df, path)
+    graph = graph_of(readers.ntriples(spark, path))
+    writers.save(graph, target)
+    own = dictionary.Dictionary.build(open_graph(spark, target))
+    return split_object(own.decode(own.encode(graph.df)))
+
+
+CONFIG = {"title": "t", "baseURL": "http://x", "datasourcetypes": {"kept": "dataset"}, "prefixes": {"kg": BASE}}
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    path = _folder(spark)
+    writers.save(mapped(spark, sf_dir, "region"), path)
+    sources = {
+        "regions": {"title": "Regions", "type": "kept", "description": "d", "settings": {"file": path, "keepInMemory": True}},
+        "nations": {"title": "Nations", "type": "tables", "settings": {"path": sf_dir, "tables": ["nation"]}},
+    }
+    return catalog.Catalog.from_json(spark, json.dumps(CONFIG | {"datasources": sources}))
+
+
+@query(f"SELECT * FROM ({unpivot('region')})")
+def src17_assembler(spark, sf_dir):
+    return split_object(_catalog(spark, sf_dir).graph("regions").df)
+
+
+@query("SELECT * FROM (VALUES ('nations', 'Nations', 'http://x/nations'), ('regions', 'Regions', 'http://x/regions')) t(name, title, url)")
+def src18_catalog(spark, sf_dir):
+    return _catalog(spark, sf_dir).index().select("name", "title", "url")
+
+
+@query("SELECT 'urn:a' AS s, 'urn:p' AS p, 'b' AS o UNION ALL SELECT 'urn:b', 'urn:p', 'c'")
+def src21_rows(spark, sf_dir):
+    return _lexed(graph_of_rows(spark, [("urn:a", "urn:p", '"b"'), ("urn:b", "urn:p", '"c"'), ("urn:a", "urn:p", '"b"')]).df)
+
+
+@query("SELECT r_name AS name FROM region")
+def src22_registered_type(spark, sf_dir):
+    """A type of datasource of one's own, registered by name."""
+    known = {"small": lambda spark, settings: mapped(spark, settings["at"], "region")}
+    text = json.dumps({"datasourcetypes": {"mine": "small"}, "datasources": {"r": {"type": "mine", "settings": {"at": sf_dir}}}})
+    return typed(sparql(catalog.Catalog.from_json(spark, text, known).graph("r"), "SELECT ?name WHERE { ?r re:r_name ?name }", PREFIXES), name="str")
+
+
+@query("SELECT count(*) AS total, 101 AS start, least(200, count(*)) AS \"end\", 1 AS previous, CASE WHEN count(*) > 200 THEN 3 END AS next FROM customer")
+def snk5_page_fields(spark, sf_dir):
+    fields = writers.html_fields(_fragment(spark, sf_dir, 2))
+    return spark.createDataFrame([tuple(fields.values())], "total long, start int, `end` long, previous int, next int").select("total", "start", "end", "previous", "next")
+
+
+@query("SELECT * FROM (VALUES ('error', 500, ''), ('index', 200, 'nations regions'), ('notfound', 404, 'nations regions')) t(page, status, datasets)")
+def snk10_pages(spark, sf_dir):
+    own = _catalog(spark, sf_dir)
+    pages = {"index": writers.page_fields("index", list(own.sources))}
+    try:
+        own.graph("nowhere")
+    except catalog.DataSourceNotFound as missing:
+        pages["notfound"] = writers.page_fields("notfound", list(own.sources), str(missing))
+    pages["error"] = writers.page_fields("error", problem="wrong")
+    return spark.createDataFrame([(k, v["status"], " ".join(v["datasets"])) for k, v in pages.items()], "page string, status int, datasets string")
+
+
+# Dictionary lookups, small functions, metrics
+
+
+@query("SELECT * FROM (VALUES ('urn:kg:region/1', 's', TRUE), ('urn:none', 's', FALSE), ('', 'o', FALSE)) t(term, role, found) ")
+def di3_locate(spark, sf_dir):
+    """Terms to numbers and back: a term that is there comes back as itself."""
+    own = dictionary.Dictionary.build(mapped(spark, sf_dir, "region", "nation"))
+    rows = [(t, r, (i := own.id_of(t, r)) > 0 and own.term_of(i, r) == t) for t, r in (("urn:kg:region/1", "s"), ("urn:none", "s"), ("", "o"))]
+    return spark.createDataFrame(rows, "term string, role string, found boolean")
+
+
+ask("fn4_is_iri", "nation", "SELECT ?o (isIRI(?o) AS ?iri) (isLiteral(?o) AS ?lit) (isBlank(?o) AS ?blank) WHERE { ?n ?p ?o }", {"o": "str", "iri": "bool", "lit": "bool", "blank": "bool"}, f"SELECT o, o LIKE 'urn:%' AS iri, o NOT LIKE 'urn:%' AS lit, FALSE AS blank FROM ({unpivot('nation')})")
+ask("fn_datatypes", "customer", "SELECT ?m (SUM(?k) AS ?t) (DATATYPE(SUM(?k)) AS ?dt) (DATATYPE(AVG(?k)) AS ?da) (DATATYPE(SUM(?b)) AS ?db) (SUM(?k + 9007199254740993) AS ?big) WHERE { ?c cu:c_mktsegment ?m ; cu:c_custkey ?k ; cu:c_acctbal ?b } GROUP BY ?m", {"m": "str", "t": "str", "dt": "str", "da": "str", "db": "str", "big": "str"},
+    f"SELECT c_mktsegment AS m, CAST(sum(c_custkey) AS VARCHAR) AS t, '{T.INTEGER}' AS dt, '{T.DECIMAL}' AS da, '{T.DOUBLE}' AS db, CAST(sum(CAST(c_custkey AS HUGEINT) + 9007199254740993) AS VARCHAR) AS big FROM customer GROUP BY c_mktsegment")
+ask("fn_arithmetic_types", "nation", "SELECT ?k (?k + 1 AS ?a) (?k * 2.5 AS ?b) (?k / 2 AS ?c) (-?k AS ?d) (DATATYPE(?k + 1) AS ?ta) (DATATYPE(?k * 2.5) AS ?tb) (DATATYPE(?k / 2) AS ?tc) WHERE { ?n na:n_nationkey ?k }", {"k": "int", "a": "str", "b": "num", "c": "num", "d": "str", "ta": "str", "tb": "str", "tc": "str"},
+    f"SELECT n_nationkey AS k, CAST(n_nationkey + 1 AS VARCHAR) AS a, n_nationkey * 2.5::DOUBLE AS b, n_nationkey / 2.0::DOUBLE AS c, CAST(-n_nationkey AS VARCHAR) AS d, '{T.INTEGER}' AS ta, '{T.DECIMAL}' AS tb, '{T.DECIMAL}' AS tc FROM nation")
+ask("al8_empty_groups", "customer", "SELECT (SUM(?b) AS ?t) (AVG(?b) AS ?a) (COUNT(?b) AS ?n) (SUM(?m) AS ?wrong) WHERE { ?c cu:c_acctbal ?b ; cu:c_mktsegment ?m FILTER(?b > 1e9) }", {"t": "num", "a": "num", "n": "int", "wrong": "num"}, "SELECT 0.0 AS t, 0.0 AS a, 0 AS n, 0.0 AS wrong")
+ask("al8_sum_error", "customer", "SELECT ?n (SUM(?m) AS ?wrong) (COUNT(?m) AS ?k) WHERE { ?c cu:c_mktsegment ?m ; cu:c_nationkey ?n } GROUP BY ?n", {"n": "str", "wrong": "num", "k": "int"}, "SELECT 'urn:kg:nation/' || c_nationkey AS n, CAST(NULL AS DOUBLE) AS wrong, count(*) AS k FROM customer GROUP BY c_nationkey")
+ask("al5_exists_inside", "customer orders", 'SELECT ?c (EXISTS { ?o or:o_custkey ?c } AS ?has) WHERE { ?c cu:c_mktsegment ?m FILTER(?m = "BUILDING" || NOT EXISTS { ?o or:o_custkey ?c }) }', {"c": "str", "has": "bool"}, f"{CUST}, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey NOT IN (SELECT o_custkey FROM orders)")
+ask("al7_distinct_order", "customer", "SELECT DISTINCT ?m WHERE { ?c cu:c_mktsegment ?m ; cu:c_acctbal ?b } ORDER BY DESC(?b) LIMIT 2", {"m": "str"}, "SELECT c_mktsegment AS m FROM customer GROUP BY c_mktsegment ORDER BY max(c_acctbal) DESC LIMIT 2")
+
+
+@query("SELECT 'urn:g:' || n_regionkey AS g, 'urn:kg:nation/' || n_nationkey AS s, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation WHERE n_nationkey <> 3")
+def al12_graph_variable(spark, sf_dir):
+    """GRAPH ?g around an OPTIONAL and a FILTER."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    g, s = F.concat(F.lit("urn:g:"), "n_regionkey"), F.concat(F.lit("urn:kg:nation/"), "n_nationkey")
+    there = nations.select(s.alias("s"), F.lit("urn:in").alias("p"), T.of_column(F.col("n_nationkey"), "int").alias("o"), g.alias("g"))
+    names = nations.where("n_nationkey % 2 = 0").select(s.alias("s"), F.lit("urn:name").alias("p"), T.plain(F.col("n_name")).alias("o"), g.alias("g"))
+    out = sparql(Graph(there.unionByName(names)), "SELECT ?g ?s ?name WHERE { GRAPH ?g { ?s <urn:in> ?k OPTIONAL { ?s <urn:name> ?name } FILTER(?k != 3) } }")
+    return typed(out, g="str", s="str", name="str")
+
+
+@query("SELECT c_custkey AS k, length(c_name) AS same, 9 AS other FROM customer")
+def fn7_common_prefix(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("k"), T.common_prefix(F.col("c_name"), F.col("c_name")).alias("same"), T.common_prefix(F.col("c_name"), F.lit("Customer#x")).alias("other"))
+
+
+@query("SELECT CAST(3421780262 AS BIGINT) AS crc32, CAST(47933 AS BIGINT) AS crc16, CAST(244 AS BIGINT) AS crc8")
+def fn8_checksums(spark, sf_dir):
+    """The check values that the three codes are published with, of the digits 1 to 9."""
+    one = spark.createDataFrame([("123456789",)], "t string")
+    return one.select(*(T.crc(F.col("t"), n).cast("bigint").alias(f"crc{n}") for n in (32, 16, 8)))
+
+
+@query("SELECT count(*) AS pairs, count(DISTINCT (c_mktsegment, c_nationkey)) AS keys FROM customer")
+def fn6_binding_key(spark, sf_dir):
+    out = sparql(mapped(spark, sf_dir, "customer"), "SELECT ?m ?n WHERE { ?c cu:c_mktsegment ?m ; cu:c_nationkey ?n }", PREFIXES)
+    return out.agg(F.count("*").alias("pairs"), F.count_distinct(T.binding_key(F.col("m"), F.col("n"))).alias("keys"))
+
+
+@query(f"WITH r AS ({OCN_SQL}), s AS ({STAR_SQL}) SELECT * FROM (SELECT 'chain' AS query, 'tpf' AS method, 4 AS requests, count(*) AS bindings FROM r UNION ALL SELECT 'star', 'tpf', 3, (SELECT count(*) FROM s) UNION ALL SELECT 'chain', 'spf', 3, (SELECT count(*) FROM r) UNION ALL SELECT 'star', 'spf', 1, (SELECT count(*) FROM s))")
+def ag9_metrics(spark, sf_dir):
+    graph, workload = mapped(spark, sf_dir, "orders", "customer", "nation"), {"chain": OCN, "star": list(STAR.patterns)}
+    parts = [metrics.experiment(graph, workload, m).select("query", F.lit(m).alias("method"), F.col("requests").cast("int").alias("requests"), "bindings") for m in ("tpf", "spf")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT -1 AS requests, -1 AS bindings")
+def it11_timeout(spark, sf_dir):
+    """A query that is stopped after its time counts as -1 throughout."""
+    slow = spark.range(10**15).agg(F.sum(F.sin("id")).alias("x"))
+    late = metrics.measure("slow", slow, 1, 0.5)
+    return spark.createDataFrame([(late.requests, late.bindings)], "requests int, bindings int")
