@@ -303,14 +303,17 @@ class Compiler:
         return closure if op == "plus" else closure.unionByName(self.identity(start, end)).distinct()
 
     def closure(self, edges: DataFrame, start: str | None) -> DataFrame:
-        """One step or more: the frontier moves on until it finds no new pair, so cycles end. Each round is a written table."""
+        """One step or more: the frontier moves on until it finds no new pair, so cycles end. Each round is a written table; these go when the driver ends."""
         edges = settle(edges.distinct())
         frontier = edges if start is None else edges.where(F.col("s") == start)
         seen = frontier = settle(frontier)
         hop = edges.select(F.col("s").alias("m"), F.col("o").alias("n"))
+        rounds = 0
         while not frontier.isEmpty():
             frontier = settle(frontier.join(hop, F.col("o") == F.col("m")).select("s", F.col("n").alias("o")).distinct().join(seen, ["s", "o"], "left_anti"))
-            seen = seen.unionByName(frontier)
+            seen, rounds = seen.unionByName(frontier), rounds + 1
+            if rounds % 8 == 0:  # one table again, so that the plan does not grow with the rounds
+                seen = settle(seen)
         return seen
 
     # expressions

@@ -16,7 +16,6 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import terms as T
 from ..plans.sparql import parse_turtle
@@ -84,14 +83,14 @@ _LITERAL = r'".*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
 _STATEMENT = rf"^\s*({_IRI}|{_BNODE})\s*({_IRI})\s*({_IRI}|{_BNODE}|{_LITERAL})\s*({_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
 
 
-@F.udf(StringType(), useArrow=False)
-def _unescaped(text: str | None) -> str | None:
-    if text is None:
-        return None
-    try:
-        return T.unescape(text)
-    except ValueError:
-        return None
+def _decoded(texts: pa.Array) -> pa.Array:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else T.unescape(text)
+        except ValueError:
+            return None
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
 
 def unescape(c: Column) -> Column:
@@ -100,7 +99,7 @@ def unescape(c: Column) -> Column:
     for raw, mark in (("\\\\", "\x01"), ("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\x01", "\\")):
         simple = F.replace(simple, F.lit(raw), F.lit(mark))
     hard = c.rlike(r'\\[^tnr"\\]|\x01|\\$')
-    return F.when(~F.contains(c, F.lit("\\")), c).when(hard, _unescaped(F.when(hard, c))).otherwise(simple)
+    return F.when(~F.contains(c, F.lit("\\")), c).when(hard, F.arrow_udf(_decoded, "string")(F.when(hard, c))).otherwise(simple)
 
 
 def _term(c: Column) -> Column:
