@@ -60,9 +60,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark windows are cut from texts; documents that they cover by more than COVER go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, items, WINDOW, max_cover=COVER, carry=("text", *REST)).where("not drop")
-    changed = F.col("n_hit") > 0
-    return _with_text(found.withColumn("clean_text", F.when(changed, F.col("clean_text")).otherwise(F.col("carried.text"))), "clean_text", changed)
+    found = decontaminate(docs, items, WINDOW, max_cover=COVER, carry=REST, texts=True).where("not drop")
+    return _with_text(found, "clean_text", F.col("n_hit") > 0)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
