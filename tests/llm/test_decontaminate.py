@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tests.llm.conftest import ODD, SF
+from triplespark.llm import decontaminate as decontaminate_module
 from triplespark.llm import queries
 from triplespark.llm.decontaminate import Automaton, decontaminate, digest, words_of
 
@@ -66,3 +67,17 @@ def test_odd_rows(spark, odd, no_docs):
     assert sum(r["drop"] for r in decontaminate(odd, frame, length=4, max_cover=1.0, max_span=4).collect()) > 0
     assert decontaminate(no_docs, frame).collect() == []
     assert {r.n_hit for r in decontaminate(odd, frame.where("false")).collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [300, 1000])
+def test_large_sets_go_in_passes(spark, documents, most):
+    """A test set beyond the limit of one pass gives what one pass gives."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert len(list(decontaminate_module._passes(items, most))) > 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = ["doc_id", "n_words", "n_hit", "items", "longest", "clean_text", "drop"]
+    one, several = (decontaminate(docs, items, length=10, pass_words=n).select(*columns).collect() for n in (10**9, most))
+    assert sorted(several, key=str) == sorted(one, key=str)
+    whole = decontaminate(docs, items, length=10, texts=True, pass_words=most).collect()
+    texts = {d["doc_id"]: d["text"] for d in documents}
+    assert all(r.clean_text == texts[r.doc_id] for r in whole if not r.n_hit) and any(r.n_hit for r in one)

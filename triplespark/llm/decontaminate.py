@@ -9,13 +9,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, tune
+from .common import binaries, materialize, tune
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Words of items in one automaton, at most (the longest item apart): larger test sets make several automata.
@@ -157,62 +160,126 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, max_span: int | None = None, max_cover: float = 0.0, carry: tuple[str, ...] = ()) -> DataFrame:
+_built: list[tuple[list, int, list[Automaton]]] = []
+
+
+def _automata(sent: Broadcast, length: int) -> list[Automaton]:
+    """The automata of a broadcast test set, built once in each Python worker; those of the last set alone are kept."""
+    shards = sent.value
+    if not _built or _built[0][0] is not shards or _built[0][1] != length:
+        _built[:] = [(shards, length, [Automaton(s, length) for s in shards])]
+    return _built[0][2]
+
+
+def _merge(spans: list[tuple[int, int]], words: int) -> tuple[list[int], list[int]]:
+    """Disjoint spans that cover the same words, in order, as starts and ends."""
+    hit = np.zeros(words + 1, np.int32)
+    for i, j in spans:
+        hit[i] += 1
+        hit[j] -= 1
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)[:-1] > 0, [0])).astype(np.int8)))
+    return edge[::2].tolist(), edge[1::2].tolist()
+
+
+def _passes(items: DataFrame, most: int) -> Iterator[list[list]]:
+    """The items with words (id as string or None, words), in lists of `most` words or so, each dealt to automata."""
+    shards: list[list] = [[]]
+    held = total = 0
+    for r in items.select("item_id", "text").where("text is not null").toLocalIterator():
+        words = words_of(r[1].encode())
+        if not words:
+            continue
+        if total and total + len(words) > most:
+            yield shards
+            shards, held, total = [[]], 0, 0
+        if held and held + len(words) > WORDS_PER_AUTOMATON:
+            shards.append([])
+            held = 0
+        shards[-1].append((None if r[0] is None else str(r[0]), words))
+        held += len(words)
+        total += len(words)
+    yield [x for x in shards if x]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, max_span: int | None = None, max_cover: float = 0.0, carry: tuple[str, ...] = (), texts: bool = False, pass_words: int = 600_000) -> DataFrame:
     """Hold docs (doc_id, text) against items (item_id, text), the test set.
 
     A window is `length` consecutive words of an item, or all words of an item of fewer. A word of a document is hit if
     it lies in an occurrence of a window. One row for each row of docs, repeated rows and equal or null doc_ids included:
     doc_id, n_words, n_hit, n_items (distinct item_ids with windows that occur), items (those as strings, sorted),
-    longest (words of the longest hit span), clean_text (the text less the hit spans; null where nothing is hit), drop (more than max_cover of the words are hit, or a hit span is longer than max_span, if given).
+    longest (words of the longest hit span), clean_text (the text less the hit spans; where nothing is hit the text itself
+    with `texts`, else null), drop (more than max_cover of the words are hit, or a hit span is longer than max_span, if given).
     Null and empty texts have no words; null and empty items no windows. An item whose id is null hits words, but isn't
     counted or named. An empty test set hits nothing. Columns of docs named in `carry` come along in a struct `carried`;
     others are not read.
 
-    The test set goes to every executor: it is a curated set of some MB, checked here (max 200 MB, else ValueError). Its
-    items are dealt to automata of WORDS_PER_AUTOMATON words, each built once in a task.
+    Test sets are curated and small. One of up to pass_words words goes to every executor, as automata of
+    WORDS_PER_AUTOMATON words that are built once in each Python worker and take about half a KB for each word there.
+    Larger ones are held against the documents in several passes of so many words, whose hits are then put together.
     """
     spark = docs.sparkSession
     tune(spark)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 200 << 20:
-        raise ValueError(f"the test set has {size} bytes; split it")
-    named = [(None if r[0] is None else str(r[0]), words_of(r[1].encode())) for r in items.select("item_id", "text").collect() if r[1]]
-    shards: list[list] = [[]]
-    held = 0
-    for one in sorted(named, key=lambda x: (x[1], x[0] or "")):
-        if held and held + len(one[1]) > WORDS_PER_AUTOMATON:
-            shards.append([])
-            held = 0
-        shards[-1].append(one)
-        held += len(one[1])
-    sent = spark.sparkContext.broadcast([s for s in shards if s])
+    chosen = docs.select(F.monotonically_increasing_id(), "doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("rid", "doc_id", "carried", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:3])
+
+    def row(text: bytes | None, words: int, starts: list[int], ends: list[int], found: set[str]) -> tuple:
+        spans = list(zip(starts, ends, strict=True))
+        clean = cut(text, spans) if spans else text if texts else None
+        return words, sum(ends) - sum(starts), sorted(found), max((j - i for i, j in spans), default=0), None if clean is None else clean.decode("utf-8", "replace")
+
+    def out(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *(pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "carried", "n_words", "n_hit", "items", "longest", "clean_text"])
+
+    def hits(sent: Broadcast, text: bytes | None) -> tuple[int, list[int], list[int], set[str]]:
+        words = words_of(text) if text else []
+        spans, found = [], set()
+        for a in _automata(sent, length):
+            own, which = a.hits(words)
+            spans += own
+            found |= {a.items[k] for k in which} - {None}
+        return len(words), *_merge(spans, len(words)), found
+
+    def whole(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield out(b, [row(t, *hits(sent, t)) for t in binaries(b.column("text"))])
+
+        return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton(s, length) for s in sent.value]
+    def one_pass(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [(rid, *hits(sent, t)[1:]) for rid, t in zip(b.column("rid").to_pylist(), binaries(b.column("text")), strict=True)]
+                rid, starts, ends, found = zip(*(x for x in own if x[1]), strict=True) if any(x[1] for x in own) else ([], [], [], [])
+                yield pa.record_batch({"rid": pa.array(list(rid), pa.int64()), "starts": pa.array(list(starts), pa.list_(pa.int64())), "ends": pa.array(list(ends), pa.list_(pa.int64())), "found": pa.array([sorted(x) for x in found], pa.list_(pa.string()))})
+
+        return run
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "longest", "clean_text")}
-            for t in binaries(b.column("text")):
-                words = words_of(t) if t else []
-                hit, found = np.zeros(len(words) + 1, np.int32), set()
-                for a in automata:
-                    spans, own = a.hits(words)
-                    found |= {a.items[k] for k in own} - {None}
-                    for i, j in spans:
-                        hit[i] += 1
-                        hit[j] -= 1
-                covered = np.cumsum(hit)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
-                out["n_words"].append(len(words))
-                out["n_hit"].append(int(covered.sum()))
-                out["items"].append(sorted(found))
-                out["longest"].append(int((edge[1::2] - edge[::2]).max(initial=0)))
-                out["clean_text"].append(cut(t, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))).decode("utf-8", "replace") if len(edge) else None)
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "longest": pa.int64(), "clean_text": pa.string()}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *(pa.array(out[k], kinds[k]) for k in out)], ["doc_id", "carried", *out])
-
-    chosen = docs.select("doc_id", F.struct(*carry) if carry else F.lit(None).cast("int"), "text").toDF("doc_id", "carried", "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:2])
-    found = chosen.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long, clean_text string")
+            rows = []
+            for t, starts, ends, found in zip(binaries(b.column("text")), *(b.column(c).to_pylist() for c in ("starts", "ends", "found")), strict=True):
+                n = len(words_of(t)) if t else 0
+                spans = [(i, j) for s, e in zip(starts or [], ends or [], strict=True) for i, j in zip(s, e, strict=True)]
+                rows.append(row(t, n, *_merge(spans, n), {x for xs in found or [] for x in xs}))
+            yield out(b, rows)
+
+    schema = f"{kinds}, n_words long, n_hit long, items array<string>, longest long, clean_text string"
+    passes = _passes(items, pass_words)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        found = chosen.drop("rid").mapInArrow(whole(spark.sparkContext.broadcast(first)), schema)
+    else:
+        chosen, parts = materialize(chosen, "documents"), []
+        for shards in chain((first, second), passes):
+            sent = spark.sparkContext.broadcast(shards)
+            parts.append(materialize(chosen.select("rid", "text").mapInArrow(one_pass(sent), "rid long, starts array<long>, ends array<long>, found array<string>"), "hits"))
+            sent.unpersist()
+        # a document has a row for each pass at most
+        every = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(*(F.collect_list(c).alias(c) for c in ("starts", "ends", "found")))
+        found = chosen.join(every, "rid", "left").drop("rid").mapInArrow(joined, schema)
     drop = F.col("n_hit") > F.col("n_words") * max_cover
     if max_span is not None:
         drop = drop | (F.col("longest") > max_span)
