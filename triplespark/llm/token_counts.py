@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, materialize, tune
-from .words import KEY_BYTES, count_words, frequent, match_words, rare_rows, split_words
+from .words import KEY_BYTES, count_words, frequent, key_of, match_words, rare_rows, split_words
 
 
 @lru_cache(maxsize=2)
@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     A pre-token is a run without ASCII white space. The tokenizer's patterns, its special strings and its normaliser
     never reach across one, so a text's count is the sum over its pre-tokens, whatever the library splits inside each.
-    Pre-tokens of over 64 bytes are counted where they stand, as they seldom repeat.
+    Pre-tokens of over 64 bytes, as in scripts without spaces, are joined by a digest.
 
     One row for each row of docs, repeated rows and equal or null doc_ids included: doc_id, n_bytes (of the UTF-8 text),
     n_tokens, over_limit (n_tokens > limit). A null text counts as empty: 0 and 0. Other columns of docs are not read.
@@ -44,23 +44,22 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"word": b.column("word"), "n": b.column("n"), "pieces": pa.array(_pieces(tokenizer_path, binaries(b.column("word"))), pa.int64())})
+            words = binaries(b.column("word"))
+            yield pa.record_batch({"word": pa.array(list(map(key_of, words)), pa.binary()), "n": b.column("n"), "pieces": pa.array(_pieces(tokenizer_path, words), pa.int64())})
 
-    words = materialize(count_words(docs, split_words, long_words=False).mapInArrow(measure, "word binary, n long, pieces long"), "pieces")
+    words = materialize(count_words(docs, split_words).mapInArrow(measure, "word binary, n long, pieces long"), "pieces")
     table = frequent(words).select("word", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["pieces"].to_pylist(), strict=True)))
 
     def of(text: bytes, frequencies: dict[bytes, int]) -> tuple[tuple[int, int], dict[bytes, int]]:
-        get, tokens, rare, long = known.value.get, 0, {}, []
+        get, tokens, rare = known.value.get, 0, {}
         for w, n in frequencies.items():
+            if len(w) > KEY_BYTES:
+                w = key_of(w)
             if (p := get(w)) is not None:
                 tokens += n * p
-            elif len(w) <= KEY_BYTES:
-                rare[w] = n
             else:
-                long.append((w, n))
-        if long:
-            tokens += sum(n * p for (_, n), p in zip(long, _pieces(tokenizer_path, [w for w, _ in long]), strict=True))
+                rare[w] = n
         return (len(text), tokens), rare
 
     matched = match_words(docs, "n_bytes long, n_sure long", of, split_words)

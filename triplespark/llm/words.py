@@ -20,6 +20,8 @@ from .common import binaries, materialize
 HOT_WORDS = 300_000
 #: Longer words get a digest as their key. No word holds a space, so digests can't meet words.
 KEY_BYTES = 64
+#: Bytes of text whose words a task gathers, at most about, before it passes them on.
+HELD_BYTES = 64 << 20
 
 
 def key_of(word: bytes) -> bytes:
@@ -30,33 +32,26 @@ def split_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def split_lower(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def count_words(docs: DataFrame, split: Callable[[bytes], list[bytes]], long_words: bool = True) -> DataFrame:
-    """(word, n): every distinct word of column text with its count; without long_words, only those of KEY_BYTES or less."""
+def count_words(docs: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """(word, n): every distinct word of column text, however long, with its count."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+        read = 0
 
         def out() -> pa.RecordBatch:
-            kept = {}
-            for w, n in held.items():
-                if len(w) <= KEY_BYTES:
-                    kept[w] = n
-                elif long_words:
-                    k = key_of(w)
-                    kept[k] = kept.get(k, 0) + n
+            got = pa.record_batch({"word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
             held.clear()
-            return pa.record_batch({"word": pa.array(list(kept), pa.binary()), "n": pa.array(list(kept.values()), pa.int64())})
+            return got
 
         for b in batches:
             for t in binaries(b.column("text")):
                 if t:
                     held.update(split(t))
-            if len(held) > 400_000:
+                    read += len(t)
+            if len(held) > 400_000 or read > HELD_BYTES:
                 yield out()
+                read = 0
         yield out()
 
     return docs.select("text").mapInArrow(partial, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
