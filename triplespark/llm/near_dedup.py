@@ -30,8 +30,12 @@ LARGE = 64
 DEEPEST = 8
 #: A signature's similarity that a pair has at least if its true one is the threshold: four standard deviations below.
 MARGIN = 0.14
-#: Documents that a task holds against one other, at most about.
-CONFIRMED = 400
+#: Documents, and bytes of their texts, that are held against one other together, at most about.
+CONFIRMED, CONFIRMED_BYTES = 400, 4 << 20
+
+
+#: Blocks of the filter that says whose texts are needed, at most.
+BLOCKS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -189,9 +193,10 @@ PAIRS = "u long, v long, alike float"
 
 
 def _bloomed(texts: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of texts (rid, text) that may be in rids: a fixed-size blocked Bloom filter, broadcast, spares shuffling the others."""
+    """The rows of texts (rid, text) that may be in rids: a blocked Bloom filter, broadcast, spares shuffling the others. It
+    has a block of 256 bits for every 16 rids, BLOCKS (40 MB) at most, and merely passes more beyond that."""
     h = F.xxhash64("rid")
-    block, bits = F.pmod(h, F.lit(1 << 15)).cast("int"), []
+    block, bits = F.pmod(h, F.lit(min(BLOCKS, max(64, rids.count() // 16)))).cast("int"), []
     for w in range(4):
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 16 + 6 * w).bitwiseAND(F.lit(63)).cast("int"))
         bits.append(bit)
@@ -208,7 +213,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Da
     Every v is sent to its u's, with its text; a u with many is copied to several tasks."""
     pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
     needed = materialize(_bloomed(texts, pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()), "needed")
-    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / CONFIRMED).cast("int").alias("parts"))
+    sizes = needed.select(F.col("rid").alias("v"), F.octet_length("text").alias("size"))
+    parts = pairs.join(sizes, "v").groupBy("u").agg(F.ceil(F.greatest(F.count("*") / CONFIRMED, F.sum("size") / CONFIRMED_BYTES)).cast("int").alias("parts"))
     children = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("rid")).join(needed, "rid")
     parents = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("rid")).join(needed, "rid")
     kept = F.struct("rid", "text")
@@ -280,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows (node, rid) of small nodes, and of large ones with the size and the least member."""
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("least")).where("n > 1")
-        met = materialize(rows.join(sizes, "node"), "nodes")
+        met = materialize(rows.join(sizes.hint("merge"), "node"), "nodes")
         return met.where(F.col("n") <= LARGE).select("node", "rid"), met.where(F.col("n") > LARGE)
 
     small, large = split(signs.mapInArrow(_roots, "node long, rid long"))
@@ -324,8 +330,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)), "roots")
     of_class = rooted(classes.select("_class", "rid", "low"))
     lows = of_class.groupBy("root").agg(F.min("low").alias("low"))
-    of_class = of_class.drop("low").join(lows, "root").select("_class", F.col("low.doc_id").alias("component_id"), F.col("low.rid").alias("_low"))
-    some = held.where("n_shingles > 0").drop("_sign").join(of_class, "_class").select(*own, "n_shingles", "component_id", (F.col("_rid") == F.col("_low")).alias("first"))
+    of_class = of_class.drop("low").join(lows.hint("merge"), "root").select("_class", F.col("low.doc_id").alias("component_id"), F.col("low.rid").alias("_low"))
+    # a class may hold a third of all documents: its rows meet it without their texts, in a join that is split where it is skewed
+    told = held.where("n_shingles > 0").select("_rid", "_class").join(of_class.hint("merge"), "_class").select("_rid", "component_id", (F.col("_rid") == F.col("_low")).alias("first"))
+    some = held.where("n_shingles > 0").join(told, "_rid").select(*own, "n_shingles", "component_id", "first")
     none = held.where("n_shingles = 0").select(*own, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return some.unionByName(none)
 
