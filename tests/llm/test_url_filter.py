@@ -2,6 +2,7 @@ import duckdb
 
 from tests.llm.conftest import SF
 from triplespark.llm import queries
+from triplespark.llm import url_filter as url_filter_module
 from triplespark.llm.url_filter import url_filter
 
 
@@ -26,3 +27,13 @@ def test_odd_urls(spark):
     assert url_filter(pages, listed, queries.URL_RULES).count() == 14
     assert {r.verdict for r in url_filter(pages, listed.where("false"), []).collect()} == {"allow"}
     assert url_filter(pages.where("false"), listed, []).collect() == []
+
+
+def test_long_and_frequent_urls(spark, monkeypatch):
+    """A very long URL, a listed page that most rows are, and a list that fills its filter up."""
+    monkeypatch.setattr(url_filter_module, "MOST_BLOCKS", 1)
+    rows = [(i, "http://hot.net/p") for i in range(500)] + [(1000 + i, f"http://h{i}.net/x") for i in range(300)] + [(9999, "http://long.net/" + "a/" * 20_000), (9998, "http://long.net/" + "a/" * 20_001)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = pages.where("page_id < 1200 or page_id = 9999").select("url")
+    got = {r.page_id: r.verdict for r in url_filter(pages, listed, []).collect()}
+    assert len(got) == len(rows) and {i for i, v in got.items() if v == "block"} == {i for i, _ in rows if i < 1200 or i == 9999}

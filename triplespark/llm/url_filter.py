@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of 512 bits; as a table of nine longs each they take 1.2 MB whatever the list's size, so they are broadcast.
-BLOCKS = 1 << 14
+#: Keys for each block of 512 bits, and blocks at most: as a table of nine longs each they take 75 MB then, so they are
+#: broadcast. A list beyond that fills the filter up; it passes more keys to the exact join, and none wrongly.
+KEYS, MOST_BLOCKS = 32, 1 << 20
 #: Bits that a key sets in its block.
 PROBES = 6
 
@@ -38,8 +39,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def _bits(key: Column) -> list[Column]:
@@ -56,9 +57,9 @@ def _bits(key: Column) -> list[Column]:
     return words
 
 
-def bloom(listed: DataFrame) -> DataFrame:
-    """The blocked filter of column key: (block, w0..w7), a row for each of the BLOCKS in use."""
-    bits = listed.select(_block(F.col("key")).alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(_bits(F.col("key")))))
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
+    """The blocked filter of column key: (block, w0..w7), a row for each block in use."""
+    bits = listed.select(_block(F.col("key"), blocks).alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(_bits(F.col("key")))))
     return bits.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)))
 
 
@@ -70,20 +71,22 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     one without :// have an empty host and path, fit no rule and are allowed. An empty list blocks nothing. Equal and null
     page_ids stay as they are; other columns are not read.
 
-    The filter's table has a fixed size and is broadcast; keys that pass it, with few false ones, meet the list in an
-    exact join. Keys are made distinct first, so a page that fills the input meets the join once.
+    The filter has a block for every KEYS keys of the list, MOST_BLOCKS at most, and is broadcast; keys that pass it, with
+    few false ones, meet the list in an exact join, each once. What is found returns to the pages in a join that is split
+    where a listed page fills the input.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), said.alias("said"), canonical(F.col("host"), F.col("path")).alias("key"))
     keys = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key")).where("key != ''").distinct()
-    own = rows.select("page_id", "host", "path", "rule", "said", "key", _block(F.col("key")).alias("block"), *(w.alias(f"k{i}") for i, w in enumerate(_bits(F.col("key")))))
+    blocks = min(MOST_BLOCKS, max(64, -(-keys.count() // KEYS)))
+    own = rows.select("page_id", "host", "path", "rule", "said", "key", _block(F.col("key"), blocks).alias("block"), *(w.alias(f"k{i}") for i, w in enumerate(_bits(F.col("key")))))
     seen = F.lit(True)
     for i in range(8):
         seen = seen & (F.col(f"w{i}").bitwiseAND(F.col(f"k{i}")) == F.col(f"k{i}"))
-    passed = own.join(F.broadcast(bloom(keys)), "block", "left").withColumn("maybe", F.col("said").isNull() & (F.col("key") != "") & F.coalesce(seen, F.lit(False)))
+    passed = own.join(F.broadcast(bloom(keys, blocks)), "block", "left").withColumn("maybe", F.col("said").isNull() & (F.col("key") != "") & F.coalesce(seen, F.lit(False)))
     hits = passed.where("maybe").select("key").distinct().join(keys, "key", "left_semi").select("key", F.lit(True).alias("listed"))
     maybe = passed.select("page_id", "host", "path", "rule", "said", F.when(F.col("maybe"), F.col("key")).alias("key"), "maybe")
     sure = maybe.where(~F.col("maybe")).select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
-    judged = maybe.where("maybe").join(hits, "key", "left").select("page_id", "host", "path", "rule", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
+    judged = maybe.where("maybe").join(hits.hint("merge"), "key", "left").select("page_id", "host", "path", "rule", F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))
     return sure.unionByName(judged)
