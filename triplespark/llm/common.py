@@ -131,13 +131,26 @@ _PLACES = 64
 _BYTES = mix(mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def hash_words(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of the runs without ASCII white space: sums of a random long for each byte and place, mixed with the length."""
+#: Bytes of a text hashed at once; longer ones are cut at white space.
+_BLOCK = 4 << 20
+
+
+def _blocks(text: bytes) -> Iterator[bytes]:
+    while len(text) > _BLOCK:
+        end = next((i for i in range(_BLOCK, len(text)) if _SPACE[text[i]]), len(text))
+        yield text[:end]
+        text = text[end:]
+    yield text
+
+
+def words_at(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run without ASCII white space: a 64-bit hash, its start and its bytes. A hash is the sum of a random long for
+    each byte and place, mixed with the length."""
     b = np.frombuffer(text or b"", np.uint8)
     word = ~_SPACE[b]
     edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
     if not len(edges):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = edges[1::2] - edges[::2]
     body = b[word]
     starts = np.cumsum(sizes) - sizes
@@ -147,4 +160,47 @@ def hash_words(text: bytes | None) -> np.ndarray:
             values = _BYTES[at]
         else:
             values = np.where(at < len(_BYTES), _BYTES[np.minimum(at, len(_BYTES) - 1)], mix(mix((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-        return mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64))
+        return mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64)), edges[::2], sizes
+
+
+def hash_words(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the runs without ASCII white space."""
+    return np.concatenate([words_at(x)[0] for x in _blocks(text or b"")])
+
+
+class Lookup:
+    """Values by distinct 64-bit keys: a table of slots, where a key stands in the first free one from that of its hash."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(8, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        none = -1
+        while (keys.view(np.int64) == none).any():
+            none -= 1
+        self.keys, self.values = np.full(1 << bits, none, np.int64), np.zeros(1 << bits, values.dtype)
+        keys, left = keys.view(np.int64), np.arange(len(keys))
+        at = self._slots(keys)
+        while len(left):
+            free = left[self.keys[at[left]] == none]
+            self.keys[at[free]] = keys[free]
+            self.values[at[free]] = values[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which are there."""
+        keys = keys.view(np.int64)
+        at = self._slots(keys)
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = at + 1 & self.mask
+            found = self.keys[at] == keys[left]
+            out[left[found]] = self.values[at[found]]
+            left, at = left[~found], at[~found]
+        return out

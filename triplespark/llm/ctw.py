@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, chunks, grouped, hash_words, materialize, packed, tune
+from .common import Lookup, binaries, chunks, grouped, hash_words, materialize, packed, tune, words_at
 
 #: Bytes of context.
 DEPTH = 6
@@ -44,22 +44,22 @@ def line(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + END
 
 
-def _history(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each line behind DEPTH line feeds; where the bytes to predict are."""
-    joined = np.frombuffer((END * DEPTH) + (END * DEPTH).join(lines), np.uint8)
-    sizes = np.array([len(x) for x in lines])
-    starts = np.cumsum(np.concatenate(([DEPTH], sizes[:-1] + DEPTH)))
-    at = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    return joined, at
-
-
 def _grams(lines: list[bytes]) -> np.ndarray:
-    """Each byte with its context: the byte lowest, the byte before it next, and so on."""
-    x, at = _history(lines)
-    out = np.zeros(len(at), np.int64)
-    for d in range(DEPTH, -1, -1):
-        out = out << 8 | x[at - d]
-    return out
+    """Each byte of the lines with its context, DEPTH line feeds before a line: the byte lowest, the byte before it next, and so on."""
+    joined = np.frombuffer((END * DEPTH) + (END * DEPTH).join(lines), np.uint8).astype(np.int64)
+    whole, done = joined, 1
+    while done < DEPTH + 1:  # twice as many bytes at a time
+        more = min(done, DEPTH + 1 - done)
+        shorter = whole & (1 << 8 * more) - 1
+        whole = whole.copy()
+        whole[done:] |= shorter[:-done] << 8 * done
+        done += more
+    sizes = np.array([len(x) for x in lines])
+    own = np.ones(len(joined), bool)
+    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    for d in range(DEPTH):
+        own[starts + d] = False
+    return whole[own]
 
 
 def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
@@ -446,40 +446,36 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "part", "kind", "size", "data"):
-            found, known = [], {}
-            grams = logs = None
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAMS: [], WORDS: []}
+            logs = counts = None
             for kind, size, data in rows:
                 block = pa.ipc.open_stream(data).read_next_batch()
                 if kind == GRAMS:
-                    found.append((_unpack_grams(block["grams"][0].as_buffer(), size)[0], _unpack_logs(block["logs"][0].as_buffer(), size)))
+                    found[kind].append((_unpack_grams(block["grams"][0].as_buffer(), size)[0], _unpack_logs(block["logs"][0].as_buffer(), size)))
                     continue
                 if kind == WORDS:
-                    words = pa.decompress(block["words"][0].as_buffer(), block["size"][0].as_py(), "zstd", asbytes=True).split(b" ")
-                    known.update(zip(words, _unpack(block["n"][0].as_buffer(), size, 1)[0].tolist(), strict=True))
+                    words = pa.decompress(block["words"][0].as_buffer(), block["size"][0].as_py(), "zstd", asbytes=True)
+                    found[kind].append((hash_words(words), _unpack(block["n"][0].as_buffer(), size, 1)[0]))
                     continue
-                if grams is None:
-                    grams, logs = (np.concatenate(x) for x in zip(*found, strict=True))
-                    order = np.argsort(grams)
-                    grams, logs, found = grams[order], logs[order], []
+                if logs is None:
+                    logs, counts = (Lookup(*(np.concatenate(x) for x in zip(*found[k], strict=True))) if found[k] else None for k in (GRAMS, WORDS))
+                    found.clear()
                 lines = block["text"].to_pylist()
-                said = np.zeros(len(lines))
-                for at, own, rows_ in _gram_chunks(lines):
-                    order = np.argsort(own)
-                    own = own[order]
-                    first = np.flatnonzero(_firsts(own))
-                    each = np.repeat(logs[np.searchsorted(grams, own[first])], np.diff(first, append=len(own)))
-                    sums = np.bincount(rows_[order], each)
+                said, base = np.zeros(len(lines)), np.full(len(lines), math.log10((ends + 0.1) / floor))
+                sizes, seen = np.ones(len(lines), np.int64), np.full(len(lines), int(ends > 0))
+                for at, grams, row in _gram_chunks(lines):
+                    sums = np.bincount(row, logs.get(grams))
                     said[at : at + len(sums)] += sums
-                sizes, seen, base = [], [], []
-                end = math.log10((ends + 0.1) / floor)
-                for x in lines:
-                    c = np.fromiter(map(known.__getitem__, x.split()), np.int64)
-                    sizes.append(len(c) + 1)
-                    seen.append(int(np.count_nonzero(c)) + (ends > 0))
-                    base.append(float(np.log10((c + 0.1) / floor).sum()) + end)
+                for at, some in chunks(lines, PIECE):
+                    hashes = [hash_words(x) for x in some] if len(some) == 1 else [words_at(b"".join(some))[0]]
+                    c = counts.get(hashes[0]) if counts else np.zeros(0, np.int64)
+                    row = np.repeat(np.arange(len(some)), [x.count(b" ") + (len(x) > 1) for x in some])
+                    sizes[at : at + len(some)] += np.bincount(row, minlength=len(some))
+                    seen[at : at + len(some)] += np.bincount(row, c > 0, len(some)).astype(np.int64)
+                    base[at : at + len(some)] += np.bincount(row, np.log10((c + 0.1) / floor), len(some))
                 said *= math.log10(2)
                 bits = -said / math.log10(2) / np.array([len(x) for x in lines])
-                yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(sizes, pa.int64()), pa.array(seen, pa.int64()), pa.array([tokens] * len(lines), pa.int64()), pa.array(base, pa.float64()), pa.array(said), pa.array(bits)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(sizes), pa.array(seen), pa.array([tokens] * len(lines), pa.int64()), pa.array(base), pa.array(said), pa.array(bits)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     texts = said.where(F.col("kind") == TEXT)
     counts = counted.select("part", F.lit(WORDS).alias("kind"), "at", "size", "data")
