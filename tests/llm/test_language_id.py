@@ -66,3 +66,37 @@ def test_every_letter_of_the_landmarks_counts():
     texts, langs = zip(*(("".join(rng.choice(list(s), 30)).encode(), k) for k, s in (("zh", han), ("ko", hangul)) * 40), strict=True)
     model = Model(list(texts), list(langs), 40, 1.0)
     assert [model.langs[i] for i in model.score(list(texts))[0].argmax(1)] == list(langs)
+
+
+def test_scores_are_kernel_ridge_regression():
+    """Against the definitions: kernels from sets of n-grams, Nystroem features, and the normal equations."""
+    rng = np.random.default_rng(1)
+    words = {"a": ["der", "die", "und", "nicht"], "b": ["the", "and", "of", "not"], "c": ["le", "et", "des", "pas"]}
+    texts, langs = zip(*((" ".join(rng.choice(words[k], rng.integers(1, 9))), k) for k in "abc" * 20), strict=True)
+    model = Model([t.encode() for t in texts], list(langs), 9, 0.5)
+    order = np.random.default_rng(7).permutation(len(texts))
+    marks = [[i for i in order.tolist() if langs[i] == k][:3] for k in dict.fromkeys(langs[i] for i in order.tolist())]
+    marks = [texts[i] for m in marks for i in m]
+    known = set().union(*map(grams, marks))
+
+    def kernel(xs, ys):
+        xs, ys = ([grams(t) & known for t in ts] for ts in (xs, ys))
+        return np.array([[len(x & y) / max(1, len(x) * len(y)) ** 0.5 for y in ys] for x in xs])
+
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    keep = values > 1e-4 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    z = kernel(texts, marks) @ root
+    y = np.array([[1.0 if k == own else -1.0 for k in "abc"] for own in langs])
+    w = np.linalg.solve(z.T @ z + 0.5 * np.eye(z.shape[1]), z.T @ y)
+    others = ["der und the", "des pas", "of of of not le", "Und Die"]
+    margin = 4 * kernel(others, marks) @ root @ w
+    want = np.exp(margin) / np.exp(margin).sum(1, keepdims=True)
+    assert np.allclose(model.score([t.encode() for t in others])[0], want, atol=2e-3)
+
+
+def test_ties_go_to_the_first_language(spark):
+    """The same text under two labels leaves both equal."""
+    rows = [(i, "same words here", k) for i, k in enumerate("ba" * 20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identify(frame, fit(frame, F.lit(True))).collect()} == {"a"}

@@ -1,4 +1,9 @@
+import random
+import re
+import unicodedata
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import ODD, SF
@@ -75,3 +80,58 @@ def test_cells_as_a_table_are_raked_alike(spark, monkeypatch):
         out.append(sorted((r.doc_id, r.cell_weight, r.probability) for r in got))
     assert len(out[0]) == len(rows)
     assert np.allclose(out[0], out[1], rtol=1e-6)
+
+
+def brute_form(text):
+    if text is None:
+        return mixing.NONE
+    size = len(text) + 1
+    if len(re.findall(r" \| ", text)) * 40 > size:
+        return "table"
+    if len(re.findall("[A-Z]", text)) * 2 > len(re.findall("[A-Za-z]", text)) + 1:
+        return "shouted"
+    quiet = re.compile(r"[ \t\n\x0b\x0c\r.,;:'\"!?()-]")
+    noise = sum(not (quiet.match(c) or unicodedata.category(c)[0] == "L") for c in text)
+    return "noisy" if noise * 20 > size else "prose"
+
+
+def test_forms_and_tokens_are_brute_force(documents):
+    r = random.Random(1)
+    texts = [d["text"] for d in documents] + [None, "", " ", "a | b | c | d", "é漢字 ok", "漢字" * 9, "©®™" * 5, "ÄÖÜ", "ABC abc DEF G"]
+    texts += ["".join(r.choice("aB |é漢¿9\n.") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    got = mixing.measure(pa.array(texts, pa.string())).to_pylist()
+    for t, g in zip(texts, got, strict=True):
+        assert ((g["topic"] or mixing.NONE), g["tokens"]) == (brute_form(t), len((t or "").encode().split()))
+
+
+def test_all_marginals_and_the_sample(spark, documents):
+    """Source, language and topic all meet their targets, probabilities follow from the weights, and the draw is the stated hash."""
+    from pyspark.sql import functions as F
+
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mix_documents(frame, seed=3)
+    rows = got.withColumn("draw", (F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))) / 2.0**63 + 1) / 2).collect()
+    total = sum(r.n_tokens for r in rows)
+    for name, power in (("source", 0.5), ("lang", 0.7), ("topic", 0.7)):
+        natural, raked = {}, {}
+        for r in rows:
+            natural[r[name]] = natural.get(r[name], 0) + r.n_tokens
+            raked[r[name]] = raked.get(r[name], 0) + r.n_tokens * r.cell_weight
+        flat = sum(n**power for n in natural.values() if n)
+        for k, n in natural.items():
+            assert raked[k] == pytest.approx(total * n**power / flat if n else 0, rel=1e-6)
+    ratio = {round(r.probability / r.cell_weight, 9) for r in rows if r.probability < 1}
+    assert len(ratio) == 1 and all(r.cell_weight * max(ratio) >= 1 - 1e-9 for r in rows if r.probability == 1)
+    assert all(r.sampled == (r.draw < r.probability) for r in rows)
+    kept = sum(r.n_tokens for r in rows if r.sampled)
+    spread = sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in rows) ** 0.5
+    assert abs(kept - 0.6 * total) < 4 * spread
+
+
+def test_names_and_targets(spark):
+    """A source called (other) is one like any other; a target for a rare value counts; contradictions are told."""
+    docs = spark.createDataFrame([(1, "a b c", "en", "(other)"), (2, "a b c", "en", "x"), (3, "a", "en", None), (4, None, "en", "x")], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in mix_documents(docs, targets={"source": {"(other)": 0.7}}).collect()}
+    assert 3 * rows[1].cell_weight == pytest.approx(0.7 * 7) and rows[4].topic == mixing.NONE
+    with pytest.warns(UserWarning, match="raking"):
+        rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([1.5, 0.5]), np.array([0.5, 1.5])], 50)

@@ -10,6 +10,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.llm.conftest import ODD, SF
 from tests.llm.test_decontaminate import brute as hits_of
+from tests.llm.test_mixing import brute_form
 from tests.llm.test_near_dedup import brute as components_of
 
 
@@ -33,6 +34,54 @@ def test_language_keeps_what_has_letters(stages):
     assert len(after) >= 0.97 * sum(any(c.isalpha() for c in d["text"] or "") for d in before)
 
 
+def test_language_stage_is_its_model(spark, stages):
+    """Each text scored alone by the model that the stage learns: a share of one half or more stays."""
+    before, after = stages["language ID"]
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = corpus_pipeline.language_id.fit(frame, F.lit(True))
+    want = set()
+    for d in before:
+        shares, worded = model.score([(d["text"] or "").encode()])
+        if worded[0] and shares[0].max() >= corpus_pipeline.LEAST_SCORE:
+            want.add(d["doc_id"])
+    assert {d["doc_id"] for d in after} == want
+
+
+def test_mixing_stage_is_brute_force(spark, stages):
+    """Cells, raked weights, probabilities and draws in plain Python."""
+    before, after = stages["mixing"]
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(d["doc_id"], d["text"]) for d in before], "doc_id long, text string").select("doc_id", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    keys = {d["doc_id"]: (d["source"] or "(none)", d["lang"] or "(none)", brute_form(d["text"])) for d in before}
+    tokens = {d["doc_id"]: len((d["text"] or "").encode().split()) for d in before}
+    cells = Counter()
+    for i, k in keys.items():
+        cells[k] += tokens[i]
+    total = sum(cells.values())
+    weights, aims = {k: float(n) for k, n in cells.items()}, []
+    for i, power in enumerate((0.5, 0.7, 0.7)):
+        sums = Counter()
+        for k, n in cells.items():
+            sums[k[i]] += n
+        flat = {v: n**power for v, n in sums.items() if n}
+        aims.append({v: total * flat.get(v, 0) / sum(flat.values()) for v in sums})
+    for _ in range(500):
+        for i, aim in enumerate(aims):
+            now = Counter()
+            for k, w in weights.items():
+                now[k[i]] += w
+            weights = {k: w * aim[k[i]] / now[k[i]] if now[k[i]] else w for k, w in weights.items()}
+    rates = {k: weights[k] / n if n else 1.0 for k, n in cells.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the constant that spends the budget
+        c = (low + high) / 2
+        spent = sum(n * min(1.0, c * rates[k]) for k, n in cells.items())
+        low, high = (c, high) if spent < corpus_pipeline.KEEP * total else (low, c)
+    want = {i: min(1.0, c * rates[k]) for i, k in keys.items()}
+    got = {d["doc_id"]: d["probability"] for d in after}
+    assert set(got) == {i for i, p in want.items() if (hashes[i] / 2.0**63 + 1) / 2 < p}
+    assert all(p == pytest.approx(want[i], rel=1e-6) for i, p in got.items())
+
+
 def test_near_dedup_keeps_one_of_each_group(stages):
     before, after = stages["near-dedup"]
     want = {c for _, _, c in components_of([(d["doc_id"], d["text"]) for d in before], corpus_pipeline.SHINGLE)}
