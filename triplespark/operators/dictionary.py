@@ -11,9 +11,9 @@ from ..plans.graph import Graph
 from ..plans.tables import numbered, settle
 
 
-def number(terms: DataFrame, first: int = 1) -> DataFrame:
-    """(term, id) in order, from `first`."""
-    return numbered(terms.select("term"), "term", name="id", first=first)[0]
+def number(terms: DataFrame, first: int = 1) -> tuple[DataFrame, int]:
+    """(term, id) in order, from `first`, and how many there are."""
+    return numbered(terms.select("term"), "term", name="id", first=first)
 
 
 @dataclass(frozen=True)
@@ -31,10 +31,9 @@ class Dictionary:
         df = graph.df
         ends = df.select(F.col("s").alias("term"), F.lit(1).alias("r")).unionByName(df.select(F.col("o").alias("term"), F.lit(2).alias("r"))).groupBy("term").agg(F.bit_or("r").alias("r"))
         ends = settle(ends)
-        shared = number(ends.where("r = 3"))
-        n = shared.count()
-        subjects, objects, predicates = number(ends.where("r = 1"), n + 1), number(ends.where("r = 2"), n + 1), number(df.select(F.col("p").alias("term")).distinct())
-        return Dictionary(shared, subjects, objects, predicates, {"shared": n, "subjects": subjects.count(), "objects": objects.count(), "predicates": predicates.count()})
+        shared, n = number(ends.where("r = 3"))
+        (subjects, s), (objects, o), (predicates, p) = number(ends.where("r = 1"), n + 1), number(ends.where("r = 2"), n + 1), number(df.select(F.col("p").alias("term")).distinct())
+        return Dictionary(shared, subjects, objects, predicates, {"shared": n, "subjects": s, "objects": o, "predicates": p})
 
     def section(self, role: str) -> DataFrame:
         """(term, id) of every term in role s, p or o."""

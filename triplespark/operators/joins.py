@@ -14,6 +14,8 @@ from ..plans.planner import Statistics, order, order_stars
 
 #: A set of bindings up to so many rows goes to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: A scan is reduced by bindings if its matches are expected to be more than so many times theirs.
+FEW = 10
 
 
 def join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def distinct_stars(graph: Graph, star: StarPattern) -> DataFrame:
 def evaluate(graph: Graph, patterns: list[TriplePattern], method: str = "spf", stats: Statistics | None = None) -> DataFrame:
     """The same solutions by any access method.
 
-    tpf: a scan for each pattern, in order, each joined to what is bound so far. brtpf: the same, each scan first reduced
-    to the triples that the bindings so far can meet. spf: a star at a time. endpoint: the whole pattern at once.
+    tpf: a scan for each pattern, in order, each joined to what is bound so far. brtpf: the same, a scan first reduced
+    to the triples that the bindings so far can meet where these are expected to be few against its matches. spf: a star at a time. endpoint: the whole pattern at once.
     """
     stats = stats or graph.statistics()
     if method == "endpoint":
@@ -107,14 +109,12 @@ def evaluate(graph: Graph, patterns: list[TriplePattern], method: str = "spf", s
         return reduce(join, (star_by_joins(graph, s, stats) for s in order_stars(stars(patterns), stats))) if patterns else unit(graph)
     if method not in ("tpf", "brtpf"):
         raise ValueError(f"no access method {method}")
-    out = None
+    out, size, known = None, 1.0, frozenset[str]()
     for t in order(patterns, stats):
         found = graph.scan(t)
-        if out is None:
-            out = found
-            continue
-        shared = [c for c in found.columns if c in out.columns]
-        if method == "brtpf" and shared:
+        shared = [] if out is None else [c for c in found.columns if c in out.columns]
+        if method == "brtpf" and shared and size * FEW < stats.estimate(t):
             found = found.join(out.select(*shared).distinct(), shared, "left_semi")
-        out = join(out, found)
+        size, known = size * stats.estimate(t, known), known | set(t.variables)
+        out = found if out is None else join(out, found)
     return unit(graph) if out is None else out
