@@ -14,7 +14,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     if not small:
         out = out.unionByName(out.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = out.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    met = out.join(low.hint("merge"), "u")  # a join that is split where a node has very many neighbours
+    met = out.join(low, "u")
     if small:
         moved = met.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
     else:
@@ -29,14 +29,13 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return table, tuple(seen.get.values())
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of every node in edges (u, v): root is the least node of its component. Nothing reaches the driver but sums."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node in edges (u, v): root is the least node of its component. Nothing reaches the driver but sums.
+
+    Rounds go on until one changes nothing: some log(nodes) squared at most."""
     now, state = _written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
+    before = None
+    while state != before:
         before = state
         now, state = _written(_stars(_stars(now, small=False), small=True))
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
