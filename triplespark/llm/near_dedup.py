@@ -26,12 +26,15 @@ TOKENS = 128
 #: of similarity 0.8 meets in a tree with probability 0.946, so misses all with 9e-6.
 TREES, DEPTH = 4, 2
 #: Nodes of more documents are large. Large ones branch down to DEEPEST, then are compared in blocks.
-LARGE = 64
+LARGE = 1024
 DEEPEST = 8
+#: Pairs of signatures compared at once, about.
+COMPARED = 500_000
 #: A signature's similarity that a pair has at least if its true one is the threshold: four standard deviations below.
 MARGIN = 0.14
-#: Documents, and bytes of their texts, that are held against one other together, at most about.
-CONFIRMED, CONFIRMED_BYTES = 400, 4 << 20
+#: Documents, and bytes of their texts, that are held against one other together, at most about; and documents outside a
+#: main component that are held against so many inside.
+CONFIRMED, CONFIRMED_BYTES, OUTSIDE = 400, 4 << 20, 64
 
 
 #: Blocks of the filter that says whose texts are needed, at most.
@@ -143,27 +146,35 @@ def _compare(least: float, every: bool):
     every: all pairs of different roots; else each document's pair with one smaller rid: one that is surely similar and
     least, or the most similar one."""
 
+    def compared(members: pa.ListArray) -> pa.RecordBatch:
+        sizes = pa.compute.list_value_length(members).to_numpy().astype(np.int64)
+        flat = pa.compute.list_flatten(members)
+        rid, root = flat.field("rid").to_numpy(), flat.field("root").to_numpy()
+        sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        i, j = _pairs(sizes)
+        if every:
+            other = root[i] != root[j]
+            i, j = i[other], j[other]
+        alike = _alike(sketches, i, j)
+        near = alike >= least
+        i, j, alike = i[near], j[near], alike[near]
+        u, v = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
+        if not every and len(u):
+            owner = np.where(rid[i] > rid[j], i, j)
+            order = np.lexsort((u, np.where(alike >= 0.9, 0, 1 - alike), owner))
+            first = order[np.flatnonzero(np.concatenate(([True], np.diff(owner[order]) != 0)))]
+            u, v, alike = u[first], v[first], alike[first]
+        return pa.record_batch({"u": pa.array(u), "v": pa.array(v), "alike": pa.array(alike.astype(np.float32))})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             members = b.column("members")
-            sizes = pa.compute.list_value_length(members).to_numpy().astype(np.int64)
-            flat = pa.compute.list_flatten(members)
-            rid, root = flat.field("rid").to_numpy(), flat.field("root").to_numpy()
-            sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
-            i, j = _pairs(sizes)
-            if every:
-                other = root[i] != root[j]
-                i, j = i[other], j[other]
-            alike = _alike(sketches, i, j)
-            near = alike >= least
-            i, j, alike = i[near], j[near], alike[near]
-            u, v = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
-            if not every and len(u):
-                owner = np.where(rid[i] > rid[j], i, j)
-                order = np.lexsort((u, np.where(alike >= 0.9, 0, 1 - alike), owner))
-                first = order[np.flatnonzero(np.concatenate(([True], np.diff(owner[order]) != 0)))]
-                u, v, alike = u[first], v[first], alike[first]
-            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v), "alike": pa.array(alike.astype(np.float32))})
+            pairs = np.cumsum(pa.compute.list_value_length(members).to_numpy().astype(np.int64) ** 2 // 2)
+            at = 0
+            while at < len(members):
+                end = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + COMPARED)))
+                yield compared(members.slice(at, end - at))
+                at = end
 
     return run
 
@@ -344,7 +355,7 @@ def _against_main(rows: DataFrame, sketches: DataFrame, texts: DataFrame, size:
     blocks to tasks of their own, where signatures choose the pairs to confirm on full sets, and links alone come out."""
     family = rows.groupBy("main", "rid").agg(F.min("root").alias("root"))
     outside = F.col("root") != F.col("main")
-    blocks = family.groupBy("main").agg(F.ceil(F.count_if(outside) / LARGE).cast("int").alias("blocks"), F.ceil(F.count("*") / CONFIRMED).cast("int").alias("parts")).where("blocks > 0")
+    blocks = family.groupBy("main").agg(F.ceil(F.count_if(outside) / OUTSIDE).cast("int").alias("blocks"), F.ceil(F.count("*") / CONFIRMED).cast("int").alias("parts")).where("blocks > 0")
     needed = _bloomed(texts, family.select("rid"))
     held = materialize(family.join(blocks, "main").join(sketches, "rid").join(needed, "rid"), "family")
     at = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
