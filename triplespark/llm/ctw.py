@@ -417,7 +417,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     tune(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bytes_, ends = docs.agg(F.sum(F.octet_length("text")), F.count_if(train)).first()
-    shards, buckets = (min(1 << 24, max(low, (bytes_ or 0) // of)) for low, of in ((128, SHARD_BYTES), (16, BUCKET_BYTES)))
+    shards, buckets = (min(1 << 24, max(low, (bytes_ or 0) // of)) for low, of in ((128, SHARD_BYTES), (width, BUCKET_BYTES)))
     said = cut_parts(docs, train, shards, buckets)
     counted = count_all(said, width)
     distinct, tokens = (x or 0 for x in counted.agg(F.sum("distinct"), F.sum("total")).first())
