@@ -91,6 +91,15 @@ def test_patterns(tiny, where, n):
     assert len(rows(tiny, f"SELECT * WHERE {{ {where} }}")) == n
 
 
+def test_unbound_variable_of_an_optional_meets_every_value(tiny):
+    """A second OPTIONAL beside the first binds what that left open; inside it, it only adds to what that found."""
+    a, b, c, d = (EX + x for x in "abcd")
+    first, second = "?s ex:predicate1 ?v OPTIONAL { ?s ex:loves ?o", "OPTIONAL { ?o ex:predicate3 ?n }"
+    beside = rows(tiny, f"SELECT DISTINCT ?s ?o WHERE {{ {first} }} {second} FILTER(BOUND(?o)) }}")
+    assert beside == sorted([(c, c), *product((a, b, d), (a, b))])
+    assert rows(tiny, f"SELECT DISTINCT ?s ?o WHERE {{ {first} {second} }} FILTER(BOUND(?o)) }}") == [(c, c)]
+
+
 def test_query_forms(tiny):
     assert rows(tiny, "ASK { ex:a ex:predicate2 ex:b }") == [(True,)]
     assert rows(tiny, "ASK { ex:a ex:predicate2 ex:a }") == [(False,)]

@@ -61,3 +61,20 @@ def test_bound_parts_of_optionals_join_on_equal_columns(spark):
     text = "SELECT * WHERE { ?c cu:c_name ?n OPTIONAL { ?o or:o_custkey ?c } OPTIONAL { ?o or:o_custkey ?c ; or:o_orderstatus ?s } }"
     plan = plan_of(queries.sparql(queries.mapped(spark, SF, "customer", "orders"), text, queries.PREFIXES))
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_customers_without_orders_meet_no_order(spark, con, tmp_path):
+    """Customers 3 and 4 have none, customer 2 has no name, order 14 has no status and order 15 no customer."""
+    made = {
+        "customer": "select * replace (if(c_custkey = 2, null, c_name) as c_name) from customer where c_custkey between 1 and 4",
+        "orders": "select k as o_orderkey, c as o_custkey, s as o_orderstatus from (values (11, 1, 'F'), (12, 1, 'O'), (13, 2, 'F'), (14, 2, null), (15, null, 'F')) t(k, c, s)",
+    }
+    sql = queries.ORACLE_SQL["al5_optional_chain"]
+    own = duckdb.connect()
+    for t, rows in made.items():
+        con.sql(f"copy ({rows}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        own.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = queries.QUERIES["al5_optional_chain"](spark, str(tmp_path))
+    got = plain(df.select("c", "o", "s").collect())
+    assert len(got) == 4 and got == plain(own.sql(f"SELECT c, o, s FROM ({sql})").fetchall())
+    assert "NestedLoop" not in plan_of(df) and "CartesianProduct" not in plan_of(df)
